@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm import langid
+from pressmill.llm import langid, leaks, mixing, pieces
 from pressmill.tables import table
 
 
@@ -33,5 +33,51 @@ def p3_segments(spark, folder: str) -> DataFrame:
     return langid.segment_languages(documents, "text", model, ["doc_id"]).withColumn("confidence", F.round("confidence", 4))
 
 
-QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments}
+def _leaks(spark, folder: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p6_found(spark, folder: str) -> DataFrame:
+    """Documents that hold 18 consecutive words of an evaluation item."""
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p6_items(spark, folder: str) -> DataFrame:
+    """For every evaluation item, in how many documents it leaks and how many passages of it at most."""
+    found = _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("passages").alias("most_passages"))
+    items = table(spark, folder, "eval_items").select("item_id", "suite")
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_passages", F.lit(0)).alias("most_passages"))
+
+
+def p7_mix(spark, folder: str) -> DataFrame:
+    """The documents of the mix with their copies."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
+
+
+def p7_shares(spark, folder: str) -> DataFrame:
+    """Target and actual share of every source of the mix."""
+    return mixing.shares(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p8_found(spark, folder: str) -> DataFrame:
+    """Documents that had to be cut."""
+    cut = pieces.split_texts(table(spark, folder, "documents"), "doc_id", "text", oversized_only=True, with_text=False)
+    return cut.where("piece = 1").select("doc_id")
+
+
+def p8_pieces(spark, folder: str) -> DataFrame:
+    """All pieces of all documents."""
+    return pieces.split_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_pieces": p8_pieces,
+}
 SQL: dict[str, str] = {}
