@@ -93,7 +93,9 @@ def pivot(records, seed: int):
 def _pivot_rows(key: str, frame: pd.DataFrame, seed: int, state: dict) -> list[tuple]:
     """Run each source's records through its pivot; state holds one residual per source."""
     rows = []
-    for source, part in frame.groupby("source", sort=True):
+    # heaviest first: a heavy record's fraction is settled by the lighter ones after it, so what is left is light
+    ordered = frame.sort_values(["n_tokens", key], ascending=[False, True])
+    for source, part in ordered.groupby("source", sort=True):
         start = [state[source][:3]] if source in state else []
         whole = {r[0]: r[1:] for r in zip(part[key], part["n_tokens"], part["whole"], strict=True)}
         if source in state:
@@ -140,7 +142,7 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, see
 
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         state: dict = {}
-        rows = _pivot_rows(key, pdf.sort_values(key), seed + 1, state)
+        rows = _pivot_rows(key, pdf, seed + 1, state)
         rows += [(k, s, w, whole, p, False) for s, (k, w, p, whole) in sorted(state.items())]
         return pd.DataFrame(rows, columns=columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm import langid, leaks, mixing, pieces
+from pressmill.llm import langid, leaks, mixing, neardup, pieces
 from pressmill.tables import table
 
 
@@ -33,6 +33,21 @@ def p3_segments(spark, folder: str) -> DataFrame:
     return langid.segment_languages(documents, "text", model, ["doc_id"]).withColumn("confidence", F.round("confidence", 4))
 
 
+def _recurring(spark, folder: str) -> DataFrame:
+    """Texts of timeline events and imported articles that the likeness of words can compare."""
+    titles = table(spark, folder, "timeline_data").select(F.lit("timeline_data").alias("src_table"), "id", F.concat(F.col("title"), F.lit(" "), F.coalesce("syndication", F.lit(""))).alias("text"))
+    excerpts = table(spark, folder, "synthetic_investigation").select(F.lit("synthetic_investigation").alias("src_table"), "id", F.col("excerpt").alias("text"))
+    rows = titles.unionAll(excerpts)
+    return rows.where(F.col("text").isNotNull() & F.col("id").isNotNull() & ~neardup.has_han(F.col("text")))
+
+
+def p5_found(spark, folder: str) -> DataFrame:
+    """Pairs of different ids whose words are alike at 0.75 or more."""
+    sets = neardup.word_sets(_recurring(spark, folder), "src_table", "id", "text")
+    classes = neardup.similar_classes(sets, "src_table", 0.75)
+    return neardup.member_pairs(sets, classes, "src_table", "id").select("src_table", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
 def _leaks(spark, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
@@ -73,6 +88,7 @@ def p8_pieces(spark, folder: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_segments": p3_segments,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p7_mix": p7_mix,
