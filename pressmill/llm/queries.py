@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm import langid, leaks, mixing, neardup, pieces
+from pressmill.llm import langid, leaks, mixing, names, neardup, pieces
 from pressmill.tables import table
 
 
+def _publishers(spark, folder: str) -> DataFrame:
+    both = table(spark, folder, "timeline_data").select("publisher").unionAll(table(spark, folder, "synthetic_investigation").select("publisher"))
+    return names.publisher_groups(both, "publisher")
+
+
+def p1_found(spark, folder: str) -> DataFrame:
+    """Pairs of different spellings of one publisher."""
+    return names.group_pairs(_publishers(spark, folder))
+
+
+def p1_groups(spark, folder: str) -> DataFrame:
+    """Every spelling that has variants, its group and the group's size."""
+    groups = _publishers(spark, folder)
+    return groups.join(groups.groupBy("group_id").agg(F.count("*").alias("n_spellings")), "group_id").select("name", "group_id", "n_spellings")
+
+
 def _labelled(spark, folder: str) -> DataFrame:
     """All labelled texts: src_table, record_id, label, detected."""
     documents = table(spark, folder, "documents")
@@ -86,6 +102,8 @@ def p8_pieces(spark, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
     "p5_found": p5_found,
