@@ -318,15 +318,17 @@ def name_links(names: DataFrame, threshold: float = 0.25, top_n: int | None = No
     compare = F.pandas_udf(lambda x, y: pd.Series([likeness(p, q) for p, q in zip(x.to_dict("records"), y.to_dict("records"), strict=True)], dtype="float64"), "double")
     links = pairs.withColumn("likeness", compare("fa", "fb")).where("likeness > 0")
     links = materialize(links.select("a", "b", "fa", "fb", "likeness"), "name-links")
-    # a name with bare initials that fits people or titles which differ is linked to none of them
+
+    # a name with bare initials whose partners share no given name or title is linked to none of them
     def bare(f: str):
         return (F.length(f"{f}.initials") > 0) | ((F.col(f"{f}.kind") == "p") & (F.length(f"{f}.given") == 1))
 
-    sides = links.select(F.col("a").alias("x"), "fa", "fb").where(bare("fa") & ~bare("fb")).select("x", F.col("fb").alias("f"))
-    sides = sides.unionAll(links.select(F.col("b").alias("x"), "fa", "fb").where(bare("fb") & ~bare("fa")).select("x", F.col("fa").alias("f")))
-    whole = F.pandas_udf(lambda s: s.map(lambda g: min(_givens(g), default=g)), "string")
-    meant = F.when(F.col("f.kind") == "p", whole("f.given")).otherwise(F.col("f.title"))
-    unclear = sides.select("x", meant.alias("m")).distinct().groupBy("x").count().where("count > 1").select("x")
+    sides = links.where(bare("fa") & ~bare("fb")).select(F.col("a").alias("x"), F.col("b").alias("partner"), F.col("fb").alias("f"))
+    sides = sides.unionAll(links.where(bare("fb") & ~bare("fa")).select(F.col("b").alias("x"), F.col("a").alias("partner"), F.col("fa").alias("f")))
+    whole = F.pandas_udf(lambda s: s.map(lambda g: sorted(_givens(g) or {g})), "array<string>")
+    meanings = F.when(F.col("f.kind") == "p", whole("f.given")).otherwise(F.array("f.title"))
+    support = sides.select("x", F.explode(meanings).alias("m")).groupBy("x", "m").agg(F.count("*").alias("n")).groupBy("x").agg(F.max("n").alias("most"))
+    unclear = support.join(sides.groupBy("x").agg(F.count("*").alias("partners")), "x").where("most < partners").select("x")
     out = links.select("a", "b", "likeness", bare("fa").alias("ba"), bare("fb").alias("bb"))
     for side in ("a", "b"):
         out = out.join(unclear.select(F.col("x").alias(side), F.lit(True).alias(f"u{side}")), side, "left")
