@@ -16,8 +16,9 @@ Texts with the same word set form one class before any signature is written, so
 however many, cost one signature set. Pairs are found between classes; ``member_pairs``
 expands them where pairs of records are wanted.
 
-The sketch has a fixed number of counters (``2**sketch_bits``); it orders words and drops
-signatures of words that occur once, and collisions only cost time. Nothing is capped.
+Sketches of fixed size (``2**sketch_bits`` cells) hold the counts of all words and mark the
+signatures in the index, so that signatures without a partner are not written; collisions
+only cost time. Nothing is capped.
 
 Defined results: null texts and texts without words are in no class; sets of fewer than
 three words match only their equals at thresholds of 0.75 and more; repeated rows are
@@ -26,12 +27,10 @@ members of one class; empty tables give empty results; only the named columns ar
 
 from __future__ import annotations
 
-import itertools
-import math
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,143 +42,216 @@ CLASS_LIMITS = (3_000, 30_000)
 """Largest count of a word of class 1 and 2; more frequent ones are of class 3."""
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Sorted 32-bit hashes of the distinct lower-cased words."""
-    digest = xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((digest(w) for w in set(_WORD.findall(text.lower()))), np.uint32))
-
-
-def _most_missing(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """How many words may be missing from a partner: of at least equal size, and of any size."""
-    same = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(int)
-    least = n - np.ceil(threshold * n - 1e-9).astype(int)
-    return same, least
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
-def _rounds(n: int) -> tuple[int, ...]:
-    """Signature rounds of a set of n words: 0 is for small sets (two classes), 1 for the others (three).
-
-    Three classes leave up to three chances short, which sets under five words may lack;
-    a pair of at most five words meets in round 0, any other in round 1.
-    """
-    return (0,) if n < 4 else (0, 1) if n <= 5 else (1,)
-
-
-def signatures(tokens: np.ndarray, counts: np.ndarray, threshold: float, limits=CLASS_LIMITS) -> list[tuple[int, bool]]:
-    """(signature, also for the index) of one set of word hashes; ``counts`` is the sketch's count of each."""
-    n = len(tokens)
-    order = np.lexsort((tokens, counts))
-    tokens, counts = tokens[order], counts[order]
-    same, least = (int(x[0]) for x in _most_missing(np.asarray([n]), threshold))
-    out: dict[int, bool] = {}
-    for part in _rounds(n):
-        kinds = 1 + (counts > limits[0]).astype(int)
-        if part:
-            kinds += counts > limits[1]
-        groups: dict[int, list[int]] = {1: [], 2: [], 3: []}
-        chances = 0
-        for token, count, kind in zip(tokens.tolist(), counts.tolist(), kinds.tolist(), strict=True):
-            index = chances <= same
-            group = groups[kind]
-            if len(group) >= kind - 1:
-                chances += 1
-                if kind == 1:
-                    if count > 1:
-                        out[_key(part, kind, (token,))] = out.get(_key(part, kind, (token,)), False) | index
-                else:
-                    for rest in itertools.combinations(group, kind - 1):
-                        key = _key(part, kind, (*rest, token))
-                        out[key] = out.get(key, False) | index
-            group.append(token)
-            if chances > least:
-                break
-    return list(out.items())
-
-
-def _key(part: int, kind: int, tokens: tuple) -> int:
-    return xxhash.xxh64_intdigest(np.asarray(sorted(tokens), np.uint32).tobytes(), seed=part * 8 + kind) - 2**63
-
-
-def _bitmaps(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits, one set per word."""
-    at = _mix(tokens) & np.uint64(127)
-    low = np.bitwise_or.reduce(np.uint64(1) << at[at < 64], initial=np.uint64(0))
-    high = np.bitwise_or.reduce(np.uint64(1) << (at[at >= 64] - np.uint64(64)), initial=np.uint64(0))
-    return int(np.uint64(low).astype(np.int64)), int(np.uint64(high).astype(np.int64))
+def flat_word_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of each text's distinct lower-cased words, sorted within the text, and their numbers."""
+    digest = xxhash.xxh32_intdigest
+    hashes: list[int] = []
+    counts = []
+    for text in texts:
+        words = set(_WORD.findall(text.lower()))
+        hashes += map(digest, words)
+        counts.append(len(words))
+    rows = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
+    both = np.unique((rows << np.uint64(32)) | np.asarray(hashes, np.uint64)) if hashes else np.zeros(0, np.uint64)
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(texts))
 
 
 def word_sets(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
-    """(group, key, set_id, tokens): each row's word set, as a table in the shared folder."""
+    """(group, key, set_id, tokens): each row's word set, as a table in the shared folder; sets of different groups differ."""
     ship(df.sparkSession)
+    rows = df.select(group, key, F.col(text).alias("_text")).where("_text is not null")
     schema = f"`{group}` string, `{key}` {df.schema[key].dataType.simpleString()}, set_id bigint, tokens array<int>"
 
     def run(batches):
-        for pdf in batches:
-            sets = [word_hashes(t) for t in pdf["_text"]]
-            ids = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
-            out = pd.DataFrame({group: pdf[group], key: pdf[key], "set_id": np.asarray(ids, np.int64), "tokens": [s.view(np.int32) for s in sets]})
-            yield out[[len(s) > 0 for s in sets]]
+        for batch in batches:
+            tokens, sizes = flat_word_sets(batch.column(2).to_pylist())
+            ends = np.cumsum(sizes)
+            raw = tokens.tobytes()
+            seeds = {name: xxhash.xxh64_intdigest(str(name)) for name in set(batch.column(0).to_pylist())}
+            ids = [xxhash.xxh64_intdigest(raw[4 * (e - n) : 4 * e], seed=seeds[name]) - 2**63 for e, n, name in zip(ends.tolist(), sizes.tolist(), batch.column(0).to_pylist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens.view(np.int32)))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), lists], names=[group, key, "set_id", "tokens"])
+            yield out.filter(pa.array(sizes > 0))
 
-    rows = df.select(group, key, F.col(text).alias("_text")).where("_text is not null")
-    return materialize(rows.mapInPandas(run, schema), "word-sets")
+    return materialize(rows.mapInArrow(run, schema), "word-sets")
 
 
-def count_sketch(sets: DataFrame, sketch_bits: int) -> np.ndarray:
-    """Counts of all words by hash, as logarithms in one byte each; of fixed size whatever the data."""
-    mask = (1 << sketch_bits) - 1
-    schema = "cell int, n bigint"
+def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    lists = batch.column(column)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.diff(lists.offsets.to_numpy())
+
+
+def _counted(df: DataFrame, cells_of, cells: int, most: int) -> DataFrame:
+    """(cell, n): how often each hash cell occurs over all rows, each partition's count held at ``most``."""
 
     def run(batches):
-        cells = np.zeros(1 << sketch_bits, np.uint32)
-        for pdf in batches:
-            if len(pdf):
-                cells += np.bincount(np.concatenate(pdf["tokens"].to_numpy()).view(np.uint32) & mask, minlength=1 << sketch_bits).astype(np.uint32)
-        used = np.flatnonzero(cells)
+        counts = np.zeros(cells, np.uint32 if most > 255 else np.uint8)
+        for batch in batches:
+            found, n = np.unique(cells_of(batch), return_counts=True)
+            counts[found] = np.minimum(counts[found].astype(np.int64) + n, most)
+        used = np.flatnonzero(counts)
         for start in range(0, len(used), 100_000):
             part = used[start : start + 100_000]
-            yield pd.DataFrame({"cell": part.astype(np.int32), "n": cells[part].astype(np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int32))], names=["cell", "n"])
+
+    return df.mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def cell_levels(df: DataFrame, cells_of, bits: int) -> np.ndarray:
+    """8 times the base-2 logarithm of each cell's count, plus one, in a byte; 0 where it is below 2.
 
-    level = F.greatest(F.lit(0), F.least(F.lit(255), F.ceil(F.log2(F.col("n")) * 8))).cast("int")
-    table = sets.select("tokens").mapInPandas(run, schema).groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell", level.alias("level"))
-    found = table.toPandas()
-    out = np.zeros(1 << sketch_bits, np.uint8)
+    At most ``2**bits`` rows reach the driver, whatever the data.
+    """
+    level = F.least(F.lit(255), F.floor(F.log2(F.col("n").cast("double")) * 8) + 1).cast("smallint")
+    found = _counted(df, cells_of, 1 << bits, 2**31 - 1).where("n > 1").select("cell", level.alias("level")).toPandas()
+    out = np.zeros(1 << bits, np.uint8)
     out[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint8)
     return out
 
 
+def cell_flags(df: DataFrame, cells_of, cells: int, least: int) -> np.ndarray:
+    """One bit per cell, set where it occurs at least ``least`` times; 64 cells to a row that reaches the driver."""
+    table = _counted(df, cells_of, cells, least).where(F.col("n") >= least)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("cell", F.lit(64)))
+    found = table.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros((cells + 63) // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _flagged(flags: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (flags[cells >> 6] >> (cells & 63)) & 1 > 0
+
+
+def _level(count: int) -> int:
+    return int(np.floor(np.log2(count) * 8) + 1)
+
+
+def _runs(row: np.ndarray) -> np.ndarray:
+    """Position of each element within its run of equal values."""
+    first = np.r_[True, row[1:] != row[:-1]]
+    at = np.arange(len(row))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, threshold: float, limits=CLASS_LIMITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, indexed) of all sets; ``tokens`` are the sets one after the other, ``levels`` their counts' levels.
+
+    Sets of at most five words write their signatures with two classes, sets of four or
+    more with three: three classes may leave a set three chances short, which smaller
+    sets may lack. A pair has both sets in the first round or both in the second.
+    """
+    rows = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    order = np.argsort((rows << np.uint64(40)) | (levels.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64))
+    rows, tokens, levels = rows[order].astype(np.int64), tokens[order].astype(np.uint64), levels[order]
+    same = sizes - np.ceil(2 * threshold / (1 + threshold) * sizes - 1e-9).astype(int)
+    least = sizes - np.ceil(threshold * sizes - 1e-9).astype(int)
+    out_rows, out_keys, out_index = [], [], []
+    for part in (0, 1):
+        use = (sizes <= 5) if part == 0 else (sizes >= 4)
+        pick = use[rows]
+        if not pick.any():
+            continue
+        row, token, level = rows[pick], tokens[pick], levels[pick]
+        kind = 1 + (level > _level(limits[0])).astype(np.int64) + ((level > _level(limits[1])).astype(np.int64) if part else 0)
+        place = _runs(row * 4 + kind)  # position in the row's class: classes follow each other
+        chance = (place >= kind - 1).astype(np.int64)
+        total = np.cumsum(chance)
+        begin = _runs(row) == 0
+        base = np.maximum.accumulate(np.where(begin, total - chance, 0))
+        before = total - chance - base
+        inside = before <= least[row]
+        row, token, level, kind, place, before = (x[inside] for x in (row, token, level, kind, place, before))
+        index = before <= same[row]
+        seed = np.uint64(0x9E3779B97F4A7C15 + part)
+
+        def emit(at: np.ndarray, *others: np.ndarray, row=row, token=token, index=index, seed=seed) -> None:
+            key = _mix(token[at] + seed)
+            for other in others:
+                key = _mix(key * np.uint64(0x2545F4914F6CDD1D) + token[other])
+            out_rows.append(row[at])
+            out_keys.append(key)
+            out_index.append(index[at])
+
+        emit(np.flatnonzero((kind == 1) & (level > 1)))
+        two = np.flatnonzero((kind == 2) & (place > 0))
+        for lag in range(1, int(place[two].max(initial=0)) + 1):
+            at = two[place[two] >= lag]
+            emit(at, at - lag)
+        three = np.flatnonzero((kind == 3) & (place > 1))
+        longest = int(place[three].max(initial=0))
+        for lag in range(1, longest):
+            for far in range(lag + 1, longest + 1):
+                at = three[place[three] >= far]
+                if len(at):
+                    emit(at, at - lag, at - far)
+    if not out_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return np.concatenate(out_rows), np.concatenate(out_keys), np.concatenate(out_index)
+
+
+def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, one set per word; sets are not empty."""
+    at = _mix(tokens.astype(np.uint64)) & np.uint64(127)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    low = np.bitwise_or.reduceat(np.where(at < 64, bit, np.uint64(0)), starts)
+    high = np.bitwise_or.reduceat(np.where(at < 64, np.uint64(0), bit), starts)
+    return low.view(np.int64), high.view(np.int64)
+
+
 def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_bits: int = 22, limits=CLASS_LIMITS) -> DataFrame:
-    """(group, set_a, set_b, likeness) of all pairs of different word sets alike at or above the threshold."""
-    spark = sets.sparkSession
-    sketch = spark.sparkContext.broadcast(count_sketch(sets, sketch_bits))
-    mask = (1 << sketch_bits) - 1
-    schema = f"`{group}` string, signature bigint, indexed boolean, set_id bigint, n int, low bigint, high bigint"
+    """(set_a, set_b, likeness) of all pairs of different word sets of one group alike at or above the threshold."""
+    context = sets.sparkSession.sparkContext
+    word_mask, flag_cells = np.uint64((1 << sketch_bits) - 1), 1 << (sketch_bits + 2)
+    flag_mask = np.uint64(flag_cells - 1)
+
+    def word_cells(tokens: np.ndarray) -> np.ndarray:
+        return (tokens.astype(np.uint64) & word_mask).astype(np.int64)
+
+    words = context.broadcast(cell_levels(sets.select("tokens"), lambda batch: word_cells(_flat(batch, 0)[0]), sketch_bits))
+
+    def signed(batch: pa.RecordBatch):
+        """Words and sizes of a batch's sets; row, key, cell and index flag of their signatures, none shared between groups."""
+        tokens, sizes = _flat(batch, 1)
+        row, keys, index = signatures(tokens, sizes, np.maximum(words.value[word_cells(tokens)], 1), threshold, limits)
+        keys = _mix(keys ^ batch.column(2).to_numpy().view(np.uint64)[row])
+        return tokens, sizes, row, keys, (keys & flag_mask).astype(np.int64), index
+
+    def written_cells(batch: pa.RecordBatch) -> np.ndarray:
+        *_, cells, index = signed(batch)
+        # the second half marks what is in the index; one mark counts as two
+        return np.concatenate([cells, np.repeat(cells[index] + flag_cells, 2)])
+
+    plain = sets.select("set_id", "tokens", F.xxhash64(group).alias("part"))
+    flags = context.broadcast(cell_flags(plain, written_cells, 2 * flag_cells, 2))
+    schema = "signature bigint, set_id bigint, n int, indexed boolean, low bigint, high bigint"
 
     def run(batches):
-        levels = sketch.value
-        for pdf in batches:
-            rows = []
-            for name, set_id, tokens in zip(pdf[group], pdf["set_id"], pdf["tokens"], strict=True):
-                words = np.asarray(tokens, np.int32).view(np.uint32)
-                counts = np.exp2(levels[words & mask] / 8.0)
-                found = signatures(words, counts, threshold, limits)
-                if found:
-                    low, high = _bitmaps(words)
-                    rows += [(name, s, i, set_id, len(words), low, high) for s, i in found]
-            out = pd.DataFrame(rows, columns=[group, "signature", "indexed", "set_id", "n", "low", "high"])
-            yield out.astype({"signature": "int64", "set_id": "int64", "n": "int32", "low": "int64", "high": "int64", "indexed": "bool"})
-
-    rows = sets.select(group, "set_id", "tokens").mapInPandas(run, schema)
-    rows = rows.groupBy(group, "signature", "set_id", "n", "low", "high").agg(F.max("indexed").alias("indexed"))
-    rows = materialize(rows, "signatures")
-    a = rows.where("indexed").select(group, "signature", F.col("set_id").alias("set_a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    b = rows.select(group, "signature", F.col("set_id").alias("set_b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+        seen: set[int] = set()  # copies within an input partition are written once
+        for batch in batches:
+            batch = batch.filter(pa.array([not (i in seen or seen.add(i)) for i in batch.column(0).to_pylist()], pa.bool_()))
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            tokens, sizes, row, keys, cells, index = signed(batch)
+            keep = _flagged(flags.value, cells) & (index | _flagged(flags.value, cells + flag_cells))
+            row, keys, index = row[keep], keys[keep], index[keep]
+            low, high = bitmaps(tokens, sizes)
+            columns = [keys.view(np.int64), ids[row], sizes[row].astype(np.int32), index, low[row], high[row]]
+            for start in range(0, len(row), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 200_000]) for c in columns], names=["signature", "set_id", "n", "indexed", "low", "high"])
+
+    rows = plain.mapInArrow(run, schema).repartition("signature")
+    rows = rows.groupBy("signature", "set_id", "n", "low", "high").agg(F.max("indexed").alias("indexed"))
+    a = rows.where("indexed").select("signature", F.col("set_id").alias("set_a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    b = rows.select("signature", F.col("set_id").alias("set_b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     most = (1 - threshold) / (1 + threshold)
     alike = (
@@ -187,28 +259,36 @@ def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_
         & (F.col("na") >= F.col("nb") * threshold - 1e-9)
         & (apart <= (F.col("na") + F.col("nb")) * most + 1e-9)
     )
-    pairs = a.join(b, [group, "signature"]).where(alike).select(group, "set_a", "set_b").distinct()
-    pairs = materialize(pairs, "candidates")
+    # the same pair may meet the other way round only if sizes are equal, where the smaller id is always in the index too
+    pairs = materialize(a.join(b, "signature").where(alike).select("set_a", "set_b").distinct(), "candidates")
+
+    def id_cells(ids: np.ndarray) -> np.ndarray:
+        return (_mix(ids.view(np.uint64)) & flag_mask).astype(np.int64)
+
     # only the sets of candidates move, each once
-    wanted = pairs.select(group, F.col("set_a").alias("set_id")).unionAll(pairs.select(group, F.col("set_b").alias("set_id"))).distinct()
-    tokens = sets.join(wanted, [group, "set_id"], "left_semi").groupBy(group, "set_id").agg(F.any_value("tokens").alias("tokens"))
-    tokens = materialize(tokens, "candidate-sets")
-    joined = pairs.join(tokens.select(group, F.col("set_id").alias("set_a"), F.col("tokens").alias("ta")), [group, "set_a"])
-    joined = joined.join(tokens.select(group, F.col("set_id").alias("set_b"), F.col("tokens").alias("tb")), [group, "set_b"])
+    wanted = context.broadcast(cell_flags(pairs, lambda x: id_cells(np.concatenate([x.column(0).to_numpy(), x.column(1).to_numpy()])), flag_cells, 1))
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_flagged(wanted.value, id_cells(batch.column(0).to_numpy()))))
+
+    tokens = plain.select("set_id", "tokens").mapInArrow(chosen, "set_id bigint, tokens array<int>").groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
+    joined = pairs.join(tokens.select(F.col("set_id").alias("set_a"), F.col("tokens").alias("ta")), "set_a")
+    joined = joined.join(tokens.select(F.col("set_id").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
     both = F.size(F.array_intersect("ta", "tb"))
     likeness = both / (F.size("ta") + F.size("tb") - both)
-    return joined.select(group, F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), likeness.alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
+    return joined.select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), likeness.alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
 
 
 def member_pairs(sets: DataFrame, classes: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, a, b) with a < b: keys whose rows are alike, from similar classes and from within classes."""
-    members = materialize(sets.select(group, "set_id", key).distinct(), "members")
+    """(group, a, b) with a < b: keys of one group whose rows are alike, from similar classes and from within classes."""
+    members = sets.select(group, "set_id", key).repartition("set_id").distinct()
     a = members.select(group, F.col("set_id").alias("set_a"), F.col(key).alias("ka"))
-    b = members.select(group, F.col("set_id").alias("set_b"), F.col(key).alias("kb"))
-    across = classes.select(group, "set_a", "set_b").join(a, [group, "set_a"]).join(b, [group, "set_b"]).select(group, "ka", "kb").where("ka <> kb")
-    within = a.withColumnRenamed("set_a", "set_id").join(b.withColumnRenamed("set_b", "set_id"), [group, "set_id"]).where("ka < kb").select(group, "ka", "kb")
-    out = across.select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).unionAll(within.select(group, F.col("ka").alias("a"), F.col("kb").alias("b")))
-    return out.distinct()
+    b = members.select(F.col(group).alias("_group"), F.col("set_id").alias("set_b"), F.col(key).alias("kb"))
+    across = classes.select("set_a", "set_b").join(a, "set_a").join(b, "set_b").where(F.col(group) == F.col("_group"))
+    within = a.join(b, a["set_a"] == b["set_b"]).where("ka < kb")
+    out = across.where("ka <> kb").select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    return out.unionAll(within.select(group, F.col("ka").alias("a"), F.col("kb").alias("b"))).distinct()
 
 
 def has_han(text: Column) -> Column:
