@@ -272,7 +272,8 @@ def read_names(df: DataFrame, column: str) -> DataFrame:
         return pd.DataFrame([read_name(n) for n in names], columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     names = df.select(F.col(column).alias("name")).where("trim(name) <> ''").distinct()
-    return names.select("name", read("name").alias("f")).where("f.kind <> ''")
+    # kept above the aggregate: a filter on its result would else be pushed below and read every row's name
+    return names.select("name", read.asNondeterministic()("name").alias("f")).where("f.kind <> ''")
 
 
 def near_anchors(names: DataFrame, threshold: float = 0.25, top_n: int | None = None) -> DataFrame:
