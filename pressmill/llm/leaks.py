@@ -36,10 +36,10 @@ _WORD = re.compile(r"[^\W_]+")
 _LIMIT = np.uint64(2**64 - 1)
 
 
-def _ignored() -> re.Pattern:
+def _ignored(last: int) -> re.Pattern:
     spans, start = [], None
-    for code in range(sys.maxunicode + 2):
-        drop = code <= sys.maxunicode and unicodedata.category(chr(code)) in ("Mn", "Me", "Cf")
+    for code in range(last + 2):
+        drop = code <= last and unicodedata.category(chr(code)) in ("Mn", "Me", "Cf")
         if drop and start is None:
             start = code
         elif not drop and start is not None:
@@ -48,14 +48,16 @@ def _ignored() -> re.Pattern:
     return re.compile("[" + "".join(spans) + "]+")
 
 
-_IGNORED = _ignored()
+# A class within the basic plane is matched by table; the whole one is tried only where it is needed.
+_IGNORED, _IGNORED_ALL = _ignored(0xFFFE), _ignored(sys.maxunicode)
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits after folding case, accents and format characters."""
     folded = text.casefold()
     if not folded.isascii():
-        folded = _IGNORED.sub("", unicodedata.normalize("NFKD", folded))
+        folded = unicodedata.normalize("NFKD", folded)
+        folded = (_IGNORED if max(folded) < "\uffff" else _IGNORED_ALL).sub("", folded)
     return _WORD.findall(folded)
 
 
@@ -80,6 +82,12 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return _mix(out)
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    return pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
+
+
 class PassageIndex:
     """Min-hashes of all passages of a block of items, and their exact words."""
 
@@ -108,6 +116,7 @@ class PassageIndex:
                 found[b].append(np.lib.stride_tricks.sliding_window_view(v, self.inside).min(axis=1))
             for at, g in enumerate(_grams(h, passage).tolist()):
                 self.exact.setdefault(g, []).append((key, tuple(words[at : at + passage])))
+        self.keys = np.sort(np.fromiter(self.exact, np.uint64, len(self.exact)))
         self.tables = []
         owners = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         for values in found:
@@ -115,10 +124,10 @@ class PassageIndex:
             pairs = np.unique(np.rec.fromarrays([v, owners], names="v,o")) if len(v) else np.rec.fromarrays([v, owners], names="v,o")
             self.tables.append((np.ascontiguousarray(pairs["v"]), np.ascontiguousarray(pairs["o"])))
 
-    def candidates(self, small: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-        """(window, item) pairs that share a min-hash; a window's shingles are small[start:end]."""
+    def candidates(self, small: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """(owner of a window, item) rows that share a min-hash; a window's shingles are small[start:end]."""
         sizes = ends - starts
-        out: set[tuple[int, int]] = set()
+        out = [np.zeros((0, 2), np.int64)]
         low = 0
         for bound, draws in zip(self.bounds, self.draws, strict=True):
             pick = np.flatnonzero((sizes > low) & (sizes <= bound) & (sizes >= self.inside))
@@ -135,10 +144,12 @@ class PassageIndex:
                 least = np.minimum.reduceat(hashed, cuts)[0::2]
                 left = np.searchsorted(values, least, "left")
                 right = np.searchsorted(values, least, "right")
-                for at in np.flatnonzero(right > left).tolist():
-                    window = int(pick[at])
-                    out.update((window, int(o)) for o in owners[left[at] : right[at]])
-        return sorted(out)
+                hit = np.flatnonzero(right > left)
+                n = right[hit] - left[hit]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pairs = np.stack([np.repeat(owner[pick[hit]], n), owners[np.repeat(left[hit], n) + inner]], axis=1)
+                out.append(_distinct(pairs))
+        return _distinct(np.concatenate(out))
 
     def search(self, texts: list[str | None], block_words: int = 1_000_000) -> list[tuple[int, int, int]]:
         """(index of text, item, passages found) for every text that holds a passage of an item."""
@@ -172,16 +183,17 @@ class PassageIndex:
             owner.append(np.full(len(s), k))
             at += len(small)
         owners = np.concatenate(owner)
-        pairs = {(int(owners[w]), item) for w, item in self.candidates(np.concatenate(parts), np.concatenate(starts), np.concatenate(ends))}
         out = []
         by_text: dict[int, set[int]] = {}
-        for k, item in pairs:
+        for k, item in self.candidates(np.concatenate(parts), np.concatenate(starts), np.concatenate(ends), owners).tolist():
             by_text.setdefault(k, set()).add(item)
         for k, items in sorted(by_text.items()):
             index, words = block[k]
             hits: dict[int, int] = {}
-            for position, g in enumerate(_grams(hashed[k], self.passage).tolist()):
-                for item, passage in self.exact.get(g, ()):
+            grams = _grams(hashed[k], self.passage)
+            near = np.searchsorted(self.keys, grams)
+            for position in np.flatnonzero(self.keys[np.minimum(near, len(self.keys) - 1)] == grams).tolist():
+                for item, passage in self.exact[int(grams[position])]:
                     if item in items and tuple(words[position : position + self.passage]) == passage:
                         hits[item] = hits.get(item, 0) + 1
             out += [(index, item, n) for item, n in sorted(hits.items())]

@@ -259,7 +259,7 @@ def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_
         & (F.col("na") >= F.col("nb") * threshold - 1e-9)
         & (apart <= (F.col("na") + F.col("nb")) * most + 1e-9)
     )
-    # the same pair may meet the other way round only if sizes are equal, where the smaller id is always in the index too
+    # of equal sizes the smaller id is taken from the index: both are in it
     pairs = materialize(a.join(b, "signature").where(alike).select("set_a", "set_b").distinct(), "candidates")
 
     def id_cells(ids: np.ndarray) -> np.ndarray:
