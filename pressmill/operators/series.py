@@ -125,7 +125,7 @@ def points(df: DataFrame, body: str) -> DataFrame:
     """Points of request snapshots: only successful ones with exactly one series; repeated bins are flagged, not summed."""
     parsed = df.withColumn("_s", F.from_json(body, SNAPSHOT_TYPE))
     ok = (F.col("_s.status") == 200) & (F.size("_s.data.timeline") == 1)
-    rows = parsed.where(ok).withColumn("_p", F.explode(F.col("_s.data.timeline")[0]["data"]))
+    rows = parsed.where(ok).withColumn("_p", F.explode(F.get("_s.data.timeline", F.lit(0))["data"]))
     twice = Window.partitionBy(*[c for c in df.columns if c != body], "bin")
     rows = rows.select(*[c for c in df.columns if c != body], F.col("_p.date").alias("bin"), F.col("_p.value").alias("value"), F.col("_p.norm").alias("norm"))
     return rows.withColumn("repeated", F.count("*").over(twice) > 1)
