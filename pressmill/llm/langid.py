@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ class LanguageModel:
         padded, out = f" {word.lower()} ", np.zeros(len(LANGUAGES), np.float32)
         for grams in self.grams:
             n = len(next(iter(grams))) if grams else 0
-            rows = [grams[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in grams] if n else []
+            rows = [grams[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in grams and g != " "] if n else []
             if rows:
                 out = np.mean(rows, axis=0, dtype=np.float32)
                 break
@@ -268,15 +269,19 @@ def segment_languages(df: DataFrame, text: str, model: LanguageModel, keys: list
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", segment int, language string, confidence double, words int"
 
     def run(batches):
-        for pdf in batches:
-            owner, best, confidence, n = shared.value.segments(pdf["_text"].tolist())
-            out = pdf[keys].iloc[owner].reset_index(drop=True)
-            position = pd.Series(owner).groupby(owner).cumcount() if len(owner) else pd.Series([], dtype=int)
-            yield out.assign(segment=position.to_numpy("int32"), language=[LANGUAGES[b] for b in best], confidence=confidence, words=n.astype("int32"))[n > 0] if len(owner) else out.assign(
-                segment=np.zeros(0, "int32"), language=[], confidence=np.zeros(0), words=np.zeros(0, "int32")
-            )
-
-    return df.select(*keys, F.col(text).alias("_text")).mapInPandas(run, schema)
+        for batch in batches:
+            owner, best, confidence, n = shared.value.segments(batch.column(len(keys)).to_pylist())
+            if not len(owner):
+                continue
+            first = np.r_[True, owner[1:] != owner[:-1]]
+            at = np.arange(len(owner))
+            place = at - np.maximum.accumulate(np.where(first, at, 0))
+            keep = n > 0
+            columns = [batch.column(i).take(pa.array(owner[keep])) for i in range(len(keys))]
+            columns += [pa.array(place[keep].astype(np.int32)), pa.array([LANGUAGES[b] for b in best[keep]], pa.string()), pa.array(confidence[keep]), pa.array(n[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "segment", "language", "confidence", "words"])
+
+    return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def label_cases(df: DataFrame, detected: str, label: str) -> DataFrame:

@@ -5,15 +5,16 @@ binds, the others take up what it lacks in proportion to their targets, so that
 keeps its size as far as the caps of all allow. A source's budget gives every one of its
 records the same expected number of copies; the whole part is fixed and the fraction is
 rounded by pivotal dependent rounding: two fractional records exchange token mass at
-random until one of them is integral, which keeps the source's token sum. Each input
-partition pairs its records in one pass, holding one residual per source; the residuals
-are paired again in a reduction tree over salted groups, and each source's last one is
+random until one of them is integral, which keeps the source's token sum. Records are
+spread by key over partitions of bounded size; each pairs its records in one pass, heaviest
+first, holding one residual per source; the residuals are paired again in a reduction tree over salted groups, and each source's last one is
 rounded at random.
 
 Defined results: records of a source without target, or with null source, are left out;
 targets of sources without records stay at zero; null or empty texts have no tokens and
-are never copied; shares are scaled to sum to one; a source listed twice is refused; empty tables give
-empty results. Draws depend on keys and seed only, so a repeated run gives the same mix.
+are never copied; shares are scaled to sum to one; a source listed twice is refused; repeated
+keys are rounded each for itself; empty tables give empty results. Draws depend on keys,
+sizes and seed only, so a repeated run gives the same mix.
 """
 
 from __future__ import annotations
@@ -96,25 +97,26 @@ def _pivot_rows(key: str, frame: pd.DataFrame, seed: int, state: dict) -> list[t
     # heaviest first: a heavy record's fraction is settled by the lighter ones after it, so what is left is light
     ordered = frame.sort_values(["n_tokens", key], ascending=[False, True])
     for source, part in ordered.groupby("source", sort=True):
-        start = [state[source][:3]] if source in state else []
-        whole = {r[0]: r[1:] for r in zip(part[key], part["n_tokens"], part["whole"], strict=True)}
-        if source in state:
-            whole[state[source][0]] = (state[source][1], state[source][3])
-        run = pivot([*start, *zip(part[key], part["n_tokens"], part["fraction"], strict=True)], seed)
+        # records go by (key, place), so that repeated keys stay apart; the held residual has place -1
+        held = state.pop(source, None)
+        keys = [*([(held[0], -1)] if held else []), *zip(part[key], range(len(part)), strict=True)]
+        sizes = [*([held[1]] if held else []), *part["n_tokens"]]
+        fractions = [*([held[2]] if held else []), *part["fraction"]]
+        whole = dict(zip(keys, zip(sizes, [*([held[3]] if held else []), *part["whole"]], strict=True), strict=True))
+        run = pivot(zip(keys, sizes, fractions, strict=True), seed)
         while True:
             try:
                 k, extra = next(run)
             except StopIteration as end:
                 left = end.value
                 break
-            rows.append((k, source, whole[k][0], whole[k][1] + extra, 0.0, True))
-        state.pop(source, None)
+            rows.append((k[0], source, whole[k][0], whole[k][1] + extra, 0.0, True))
         if left:
-            state[source] = (*left, whole[left[0]][1])
+            state[source] = (left[0][0], left[1], left[2], whole[left[0]][1])
     return rows
 
 
-def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, seed: int = 17, fan: int = 64, path: str = VOCABULARY) -> DataFrame:
+def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, seed: int = 17, fan: int = 64, rows_per_leaf: int = 100_000, path: str = VOCABULARY) -> DataFrame:
     """(key, source, n_tokens, copies) of every record that the mix takes at least once."""
     spark = df.sparkSession
     ship(spark)
@@ -125,7 +127,8 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, see
     count = count_tokens_udf(spark, path)
     named = df.select(F.col(key), F.col(source).alias("source"), F.col(text).alias("_text")).join(F.broadcast(plan), "source", "left_semi")
     counted = materialize(named.select(key, "source", F.coalesce(count("_text"), F.lit(0)).cast("bigint").alias("n_tokens")), "mix-tokens")
-    supply = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()  # a row per target
+    supply, n_rows = {r.source: r.n for r in sums}, sum(r.rows for r in sums)
     budget = budgets(supply, {s: (share, cap) for s, share, cap in wanted})
     rates = [(s, budget[s] / supply[s] if supply.get(s) else 0.0) for s, _, _ in wanted]
     rated = counted.join(F.broadcast(spark.createDataFrame(rates, "source string, rate double")), "source")
@@ -146,7 +149,9 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, see
         rows += [(k, s, w, whole, p, False) for s, (k, w, p, whole) in sorted(state.items())]
         return pd.DataFrame(rows, columns=columns)
 
-    step = materialize(rated.mapInPandas(leaf, schema), "mix-leaves")
+    # partitions by key, sorted: how the input is laid out has no say in what is drawn
+    parts = rated.repartition(max(1, -(-n_rows // rows_per_leaf)), key).sortWithinPartitions(F.desc("n_tokens"), key)
+    step = materialize(parts.mapInPandas(leaf, schema), "mix-leaves")
     level = step.where("not done").groupBy("source", F.pmod(F.xxhash64(key), F.lit(fan)).alias("_salt")).applyInPandas(lambda pdf: node(pdf.drop(columns="_salt", errors="ignore")), schema)
     level = materialize(level, "mix-nodes")
     root = level.where("not done").groupBy("source").applyInPandas(node, schema)

@@ -40,6 +40,8 @@ from pressmill.shared import materialize, ship
 _WORD = re.compile(r"[^\W_]+")
 CLASS_LIMITS = (3_000, 30_000)
 """Largest count of a word of class 1 and 2; more frequent ones are of class 3."""
+LONG = 128
+"""Sets of more words write single words only: they have rare ones enough, and combinations would be too many."""
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -143,9 +145,10 @@ def _runs(row: np.ndarray) -> np.ndarray:
 def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, threshold: float, limits=CLASS_LIMITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, indexed) of all sets; ``tokens`` are the sets one after the other, ``levels`` their counts' levels.
 
-    Sets of at most five words write their signatures with two classes, sets of four or
-    more with three: three classes may leave a set three chances short, which smaller
-    sets may lack. A pair has both sets in the first round or both in the second.
+    Sets write their signatures in rounds by size: two classes for at most five words
+    (three classes may leave a set three chances short, which small sets may lack), three
+    classes for four to ``LONG`` words, one class beyond. Rounds overlap so far that a
+    pair alike enough always has both its sets in one of them.
     """
     rows = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
     order = np.argsort((rows << np.uint64(40)) | (levels.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64))
@@ -153,13 +156,15 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, thresh
     same = sizes - np.ceil(2 * threshold / (1 + threshold) * sizes - 1e-9).astype(int)
     least = sizes - np.ceil(threshold * sizes - 1e-9).astype(int)
     out_rows, out_keys, out_index = [], [], []
-    for part in (0, 1):
-        use = (sizes <= 5) if part == 0 else (sizes >= 4)
+    rounds = ((sizes <= 5), (sizes >= 4) & (sizes <= LONG), sizes > threshold * LONG)
+    for part, use in enumerate(rounds):
         pick = use[rows]
         if not pick.any():
             continue
         row, token, level = rows[pick], tokens[pick], levels[pick]
-        kind = 1 + (level > _level(limits[0])).astype(np.int64) + ((level > _level(limits[1])).astype(np.int64) if part else 0)
+        kind = np.ones(len(row), np.int64)
+        for limit in limits[: (1, 2, 0)[part]]:
+            kind += level > _level(limit)
         place = _runs(row * 4 + kind)  # position in the row's class: classes follow each other
         chance = (place >= kind - 1).astype(np.int64)
         total = np.cumsum(chance)

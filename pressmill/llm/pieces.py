@@ -77,10 +77,9 @@ def _atoms(text: str, count, most: int) -> list[tuple[int, int, int, int]]:
 
 
 def _merge(atoms: list[tuple[int, int, int, int]], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Merge weakest boundaries first; spans that remain."""
+    """Merge weakest boundaries first; (first, last + 1) atom of each span that remains."""
     n = len(atoms)
     size = [a[2] for a in atoms]
-    end = [a[1] for a in atoms]
     level = [a[3] for a in atoms]
     right = [*range(1, n), -1]
     left = [-1, *range(n - 1)]
@@ -93,9 +92,9 @@ def _merge(atoms: list[tuple[int, int, int, int]], limit: int, overlap: int) ->
         j = right[i]
         if not alive[i] or j < 0 or stamp[i] != si or stamp[j] != sj:
             continue
-        if total + (overlap if i else 0) > limit:
+        if total + (overlap if atoms[i][0] else 0) > limit:
             continue
-        size[i], end[i], level[i], right[i] = total, end[j], level[j], right[j]
+        size[i], level[i], right[i] = total, level[j], right[j]
         alive[j] = False
         stamp[i] += 1
         if right[i] >= 0:
@@ -104,7 +103,24 @@ def _merge(atoms: list[tuple[int, int, int, int]], limit: int, overlap: int) ->
         if left[i] >= 0:
             k = left[i]
             heapq.heappush(heap, (level[k], size[k] + size[i], k, stamp[k], stamp[i]))
-    return [(atoms[i][0], end[i]) for i in range(n) if alive[i]]
+    firsts = [i for i in range(n) if alive[i]]
+    return list(zip(firsts, [*firsts[1:], n], strict=True))
+
+
+def _fitting(text: str, atoms: list[tuple[int, int, int, int]], count, limit: int, overlap: int, goal: float) -> list[tuple[int, int]]:
+    """Spans of new text that fit with their overlap.
+
+    Atoms are sized one by one, and a joined text may take a token more at each seam;
+    a span found too large is merged again with a smaller goal.
+    """
+    out = []
+    for first, last in _merge(atoms, int(goal), overlap):
+        start, end = atoms[first][0], atoms[last - 1][1]
+        if last - first == 1 or count(text[start:end]) + (overlap if start else 0) <= limit:
+            out.append((start, end))
+        else:
+            out += _fitting(text, atoms[first:last], count, limit, overlap, goal * 0.8)
+    return out
 
 
 def _overlap_start(text: str, low: int, start: int, tokenizer, overlap: int) -> int:
@@ -128,8 +144,8 @@ def split_text(text: str, tokenizer, limit: int = 1500, overlap: int = 100) -> l
     whole = count(text) if len(text) <= 2_000_000 else limit + 1
     if whole <= limit:
         return [(0, 0, len(text), whole)]
-    slack = max(1, limit // 50)  # joined parts may take a token more than their parts' sum
-    spans = _merge(_atoms(text, count, max(1, limit - overlap - slack)), limit - slack, overlap)
+    slack = max(1, limit // 50)
+    spans = _fitting(text, _atoms(text, count, max(1, limit - overlap - slack)), count, limit, overlap, limit - slack)
     out: list[tuple[int, int, int, int]] = []
     for k, (start, end) in enumerate(spans):
         begin = _overlap_start(text, spans[k - 1][0], start, tokenizer, overlap) if k and overlap else start
@@ -137,8 +153,6 @@ def split_text(text: str, tokenizer, limit: int = 1500, overlap: int = 100) -> l
         while n > limit and begin < start:
             begin = min(start, begin + max(1, (start - begin) // 4))
             n = count(text[begin:end])
-        if n > limit:
-            raise ValueError("a piece without overlap exceeds the limit")
         out.append((begin, start, end, n))
     return out
 
