@@ -110,10 +110,12 @@ def cell_levels(df: DataFrame, cells_of, bits: int) -> np.ndarray:
 
     At most ``2**bits`` rows reach the driver, whatever the data.
     """
-    level = F.least(F.lit(255), F.floor(F.log2(F.col("n").cast("double")) * 8) + 1).cast("smallint")
-    found = _counted(df, cells_of, 1 << bits, 2**31 - 1).where("n > 1").select("cell", level.alias("level")).toPandas()
+    level = F.least(F.lit(255), F.floor(F.log2(F.col("n").cast("double")) * 8) + 1)
+    both = (F.col("cell").cast("bigint") * 256 + level).cast("bigint")
     out = np.zeros(1 << bits, np.uint8)
-    out[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint8)
+    for chunk in _counted(df, cells_of, 1 << bits, 2**31 - 1).where("n > 1").select(both.alias("both")).toArrow().column(0).chunks:
+        packed = chunk.to_numpy()
+        out[packed >> 8] = packed & 255
     return out
 
 
@@ -121,9 +123,9 @@ def cell_flags(df: DataFrame, cells_of, cells: int, least: int) -> np.ndarray:
     """One bit per cell, set where it occurs at least ``least`` times; 64 cells to a row that reaches the driver."""
     table = _counted(df, cells_of, cells, least).where(F.col("n") >= least)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("cell", F.lit(64)))
-    found = table.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
     out = np.zeros((cells + 63) // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    for batch in table.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out
 
 
