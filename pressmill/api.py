@@ -61,9 +61,13 @@ def source_detail(store: Store, collection: str, article: str) -> DataFrame:
     if one.isEmpty():
         raise NotFound(article)
     group = one.select("duplicate_group").first()[0]
-    copies = rows.where((F.col("duplicate_group") == group) & (F.col("duplicate_state") == "confirmed") & (F.col("id") != article)).agg(F.array_sort(F.collect_list("id")).alias("copies"))
-    notes = store.collections().where(F.col("id") == collection).select(F.explode("uncertainties").alias("n")).where(F.array_contains("n.source_ids", article)).agg(F.array_sort(F.collect_list("n.id")).alias("notes"))
-    return one.select("id", "title", "publisher", "url", "category", "duplicate_state", "excerpt", E.claim_label(F.col("claimed_timestamp.value")).alias("claim_label")).crossJoin(copies).crossJoin(notes)  # one row each
+    same = rows.where((F.col("duplicate_group") == group) & (F.col("duplicate_state") == "confirmed") & (F.col("id") != article))
+    copies = sorted(r.id for r in same.select("id").collect())  # a collection has at most 500 articles and 50 notes
+    notes = store.collections().where(F.col("id") == collection).select(F.explode("uncertainties").alias("n")).where(F.array_contains("n.source_ids", article))
+    cited = sorted(r.id for r in notes.select("n.id").collect())
+    as_array = lambda ids: F.array(*map(F.lit, ids)).cast("array<string>")
+    shown = one.select("id", "title", "publisher", "url", "category", "duplicate_state", "excerpt", E.claim_label(F.col("claimed_timestamp.value")).alias("claim_label"))
+    return shown.withColumn("copies", as_array(copies)).withColumn("notes", as_array(cited))
 
 
 def timeline(store: Store, collection: str, day: str = "all") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _STEP = 7 * 86400
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def _offset(zone: zoneinfo.ZoneInfo, second: int) -> int:
@@ -72,7 +73,8 @@ def exploded_intervals(spark: SparkSession, first_year: int = 1990, last_year: i
     is ambiguous, nonexistent or determined. The table's size is fixed by the public
     database (about 450 names times the years asked for), whatever the data.
     """
-    return spark.createDataFrame(
-        list(_rows(first_year, last_year)),
-        "zone string, zone_year int, zone_from array<bigint>, zone_until array<bigint>, zone_offset array<int>",
-    )
+    key = (spark.sparkContext.applicationId, first_year, last_year)
+    if key not in _TABLES:  # one relation per application, so that plans with several lookups share its broadcast
+        schema = "zone string, zone_year int, zone_from array<bigint>, zone_until array<bigint>, zone_offset array<int>"
+        _TABLES[key] = spark.createDataFrame(list(_rows(first_year, last_year)), schema)
+    return _TABLES[key]
