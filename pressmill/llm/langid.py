@@ -100,8 +100,8 @@ class LanguageModel:
             self.cache[word] = out
         return out
 
-    def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each segment with scored words: its text's index, best language, confidence, scored words."""
+    def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment: its text's index, best language, confidence, scored words, and known ones among them."""
         owner, ids, unknown, counts = [], [], [], []
         get = self.words.get
         for i, text in enumerate(texts):
@@ -130,26 +130,31 @@ class LanguageModel:
                 owner.append(i)
                 counts.append(len(found))
         if not owner:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, int)
         index = np.asarray(ids)
         score = self.scores[index]
         scored = index > 0
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        known = np.add.reduceat(scored.astype(np.int64), starts)
         for at, word in unknown:
             row = self.backoff(word)
             score[at] = row
             scored[at] = bool(row.any())
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         total = np.add.reduceat(score, starts, axis=0).astype(np.float64)
         n = np.add.reduceat(scored.astype(np.int64), starts)
         shifted = (total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
         weight = np.exp(shifted)
         best = weight.argmax(axis=1)
-        return np.asarray(owner), best, 1 / weight.sum(axis=1), n
+        return np.asarray(owner), best, 1 / weight.sum(axis=1), n, known
 
     def texts(self, texts: list[str | None], least_words: int = 5, least_confidence: float = 0.8) -> list[tuple[list[str], list[float], list[int]]]:
-        """Languages of each text, most words first, with confidence (word-weighted mean) and words."""
-        owner, best, confidence, n = self.segments(texts)
-        strong = (n >= least_words) & (confidence >= least_confidence)
+        """Languages of each text, most words first, with confidence (word-weighted mean) and words.
+
+        A segment speaks for its language with ``least_words`` known words; where none does, the
+        best-scored language of all segments stands if at least two words were scored.
+        """
+        owner, best, confidence, n, known = self.segments(texts)
+        strong = (known >= least_words) & (confidence >= least_confidence)
         found: list[dict[int, list[float]]] = [{} for _ in texts]
         weak: list[dict[int, list[float]]] = [{} for _ in texts]
         for i, b, c, k, s in zip(owner.tolist(), best.tolist(), confidence.tolist(), n.tolist(), strong.tolist(), strict=True):
@@ -270,7 +275,7 @@ def segment_languages(df: DataFrame, text: str, model: LanguageModel, keys: list
 
     def run(batches):
         for batch in batches:
-            owner, best, confidence, n = shared.value.segments(batch.column(len(keys)).to_pylist())
+            owner, best, confidence, n, _ = shared.value.segments(batch.column(len(keys)).to_pylist())
             if not len(owner):
                 continue
             first = np.r_[True, owner[1:] != owner[:-1]]

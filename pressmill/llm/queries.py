@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.llm import langid, leaks, mixing, names, neardup, pieces
+from pressmill.shared import materialize
 from pressmill.tables import table
 
 
@@ -29,7 +30,8 @@ def _labelled(spark, folder: str) -> DataFrame:
     """All labelled texts: src_table, record_id, label, detected."""
     documents = table(spark, folder, "documents")
     detect = langid.language_udf(spark, langid.fit_from(documents, "doc_id", "text", "lang"))
-    pages = documents.select("doc_id", "lang", detect("text").alias("detected"))
+    # each page is read once: its own label and its sources' labels are held against the same result
+    pages = materialize(documents.select("doc_id", "lang", detect("text").alias("detected")), "page-languages")
     titles = table(spark, folder, "timeline_data").select(F.lit("timeline_data").alias("src_table"), "record_id", F.col("language").alias("label"), detect("title").alias("detected"))
     own = pages.select(F.lit("documents").alias("src_table"), F.col("doc_id").alias("record_id"), F.col("lang").alias("label"), "detected")
     sources = table(spark, folder, "evidence_sources").where("doc_id is not null").select("record_id", "language", "doc_id")
