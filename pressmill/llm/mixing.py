@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmill.llm.tokens import VOCABULARY, count_tokens_udf
@@ -164,8 +164,8 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, see
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: target_share, actual_share, tokens and copies in the mix, records taken."""
     sums = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("n_copies"), F.count("*").alias("n_records"), F.max("copies").alias("most_copies"))
-    total = mixed.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total"))
-    rows = targets.where("source is not null").select("source", "target_share", "repeat_cap").join(sums, "source", "left").crossJoin(total)  # one row
+    rows = targets.where("source is not null").select("source", "target_share", "repeat_cap").join(sums, "source", "left")
+    rows = rows.withColumn("total", F.sum("mix_tokens").over(Window.partitionBy(F.lit(1))))  # a row per target
     return rows.select(
         "source", "target_share", "repeat_cap", F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"),
         F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),

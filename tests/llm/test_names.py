@@ -89,7 +89,7 @@ def one_at_a_time(edges, least):
     return sorted(sorted(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_linkage_is_average_linkage(spark, seed):
     r = random.Random(seed)
     nodes = [f"n{i:02d}" for i in range(16)]
