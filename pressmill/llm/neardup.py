@@ -16,9 +16,9 @@ Texts with the same word set form one class before any signature is written, so
 however many, cost one signature set. Pairs are found between classes; ``member_pairs``
 expands them where pairs of records are wanted.
 
-Sketches of fixed size (``2**sketch_bits`` cells) hold the counts of all words and mark the
-signatures in the index, so that signatures without a partner are not written; collisions
-only cost time. Nothing is capped.
+Sketches of bounded size hold the counts of all words and mark the signatures in the index,
+so that signatures without a partner are not written; collisions only cost time. Nothing
+is capped.
 
 Defined results: null texts and texts without words are in no class; sets of fewer than
 three words match only their equals at thresholds of 0.75 and more; repeated rows are
@@ -108,15 +108,15 @@ def _counted(df: DataFrame, cells_of, cells: int, most: int) -> DataFrame:
 def cell_levels(df: DataFrame, cells_of, bits: int) -> np.ndarray:
     """8 times the base-2 logarithm of each cell's count, plus one, in a byte; 0 where it is below 2.
 
-    At most ``2**bits`` rows reach the driver, whatever the data.
+    Eight cells make a row, so at most ``2**(bits - 3)`` rows reach the driver, whatever the data.
     """
-    level = F.least(F.lit(255), F.floor(F.log2(F.col("n").cast("double")) * 8) + 1)
-    both = (F.col("cell").cast("bigint") * 256 + level).cast("bigint")
-    out = np.zeros(1 << bits, np.uint8)
-    for chunk in _counted(df, cells_of, 1 << bits, 2**31 - 1).where("n > 1").select(both.alias("both")).toArrow().column(0).chunks:
-        packed = chunk.to_numpy()
-        out[packed >> 8] = packed & 255
-    return out
+    level = F.least(F.lit(255), F.floor(F.log2(F.col("n").cast("double")) * 8) + 1).cast("bigint")
+    placed = F.call_function("shiftleft", level, F.pmod("cell", F.lit(8)) * 8)
+    table = _counted(df, cells_of, 1 << bits, 2**31 - 1).where("n > 1").groupBy(F.shiftright("cell", 3).alias("word")).agg(F.bit_or(placed).alias("levels"))
+    out = np.zeros(1 << (bits - 3), np.int64)
+    for batch in table.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out.astype("<i8").view(np.uint8)
 
 
 def cell_flags(df: DataFrame, cells_of, cells: int, least: int) -> np.ndarray:
@@ -213,10 +213,16 @@ def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low.view(np.int64), high.view(np.int64)
 
 
-def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_bits: int = 22, limits=CLASS_LIMITS) -> DataFrame:
-    """(set_a, set_b, likeness) of all pairs of different word sets of one group alike at or above the threshold."""
+def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_bits: int | None = None, limits=CLASS_LIMITS) -> DataFrame:
+    """(set_a, set_b, likeness) of all pairs of different word sets of one group alike at or above the threshold.
+
+    The sketches have about four cells of counts for each set and sixteen marks, but no
+    more than ``2**24`` and ``2**25``: what is broadcast stays below 32 MB.
+    """
     context = sets.sparkSession.sparkContext
-    word_mask, flag_cells = np.uint64((1 << sketch_bits) - 1), 1 << (sketch_bits + 2)
+    if sketch_bits is None:
+        sketch_bits = min(24, max(12, sets.count().bit_length() + 2))
+    word_mask, flag_cells = np.uint64((1 << sketch_bits) - 1), 1 << min(25, sketch_bits + 2)
     flag_mask = np.uint64(flag_cells - 1)
 
     def word_cells(tokens: np.ndarray) -> np.ndarray:
