@@ -110,7 +110,7 @@ def original_language(info: Column) -> tuple[Column, Column]:
     """Language and status of a ``srclc:xxx;…`` field: only explicit source codes count, and they must agree."""
     pairs = F.filter(F.split(F.coalesce(info, F.lit("")), ";"), lambda x: F.startswith(F.trim(x), F.lit("srclc:")))
     codes = F.array_distinct(F.transform(pairs, lambda x: F.lower(F.trim(F.regexp_replace(F.trim(x), "^srclc:", "")))))
-    code = F.element_at(F.filter(codes, lambda x: F.lit(True)), 1)
+    code = F.get(codes, F.lit(0))
     good = code.rlike(r"^[a-z]{3}$") & ~code.isin(*_UNUSABLE)
     status = F.when(F.size(codes) == 0, "missing").when(F.size(codes) > 1, "conflicting").when(good, "explicit").otherwise("unusable")
     return F.when(status == "explicit", code), status

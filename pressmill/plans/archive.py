@@ -27,7 +27,7 @@ def archive_project(spark, folder: str) -> DataFrame:
     fields = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey")]
     line = F.concat_ws("\t", *fields, F.when(F.col("l_returnflag") != "R", F.lit("")))
     parts = items.select(F.split(line, "\t", -1).alias("f"))
-    shaped = parts.select(F.size("f").alias("n_fields"), F.col("f")[2].alias("flag"), F.when(F.size("f") == 6, F.col("f")[4].cast("bigint")).alias("supplier"))
+    shaped = parts.select(F.size("f").alias("n_fields"), F.get("f", F.lit(2)).alias("flag"), F.when(F.size("f") == 6, F.get("f", F.lit(4)).cast("bigint")).alias("supplier"))
     return shaped.groupBy("n_fields", "flag").agg(F.count("*").alias("n_lines"), F.count("supplier").alias("n_kept"), F.sum("supplier").alias("sum_supplier"))
 
 
@@ -39,7 +39,7 @@ def archive_asof_dedup(spark, folder: str) -> DataFrame:
 def archive_language_share(spark, folder: str) -> DataFrame:
     """Share of energy pages among each language's documents first seen on each day."""
     rows = _observations(spark, folder).where("document_id is not null")
-    first = A.deduplicate_as_of(rows, ["document_id"]).select("document_id", "language", F.substring("batch", 1, 8).alias("bin"), F.split("document_id", "/")[1].alias("topic"))
+    first = A.deduplicate_as_of(rows, ["document_id"]).select("document_id", "language", F.substring("batch", 1, 8).alias("bin"), F.get(F.split("document_id", "/"), F.lit(1)).alias("topic"))
     days = F.sequence(F.lit("2025-07-01").cast("date"), F.lit("2026-06-30").cast("date"))
     names = spark.createDataFrame([("english",), ("german",), ("russian",)], "language string")
     expected = names.withColumn("day", F.explode(days)).select("language", F.date_format("day", "yyyyMMdd").alias("bin"))
@@ -110,9 +110,9 @@ def manifest_scan(spark, folder: str) -> DataFrame:
     pages = table(spark, folder, "documents").select("doc_id", "n_chars", "url", "crawled_at")
     name = F.concat(F.lit("https://archive.example/v2/"), F.date_format("crawled_at", "yyyyMMddHHmmss"), F.lit(".GKG.csv.zip"))
     lines = pages.where("crawled_at is not null").select(F.concat_ws("  ", F.lit(" "), F.col("n_chars").cast("string"), F.md5("url"), name).alias("line"))
-    parts = lines.select(F.split(F.trim("line"), r"\s+").alias("p")).where((F.size("p") == 3) & F.col("p")[0].rlike(r"^\d+$"))
-    label = F.regexp_extract(F.col("p")[2], r"(?i)/(\d{14})\.(?:translation\.)?(gkg|mentions|export)\.csv(?:\.zip)?$", 1)
-    rows = parts.select(F.col("p")[0].cast("bigint").alias("size"), label.alias("batch"))
+    parts = lines.select(F.split(F.trim("line"), r"\s+").alias("p")).where((F.size("p") == 3) & F.get("p", F.lit(0)).rlike(r"^\d+$"))
+    label = F.regexp_extract(F.get("p", F.lit(2)), r"(?i)/(\d{14})\.(?:translation\.)?(gkg|mentions|export)\.csv(?:\.zip)?$", 1)
+    rows = parts.select(F.get("p", F.lit(0)).cast("bigint").alias("size"), label.alias("batch"))
     return rows.groupBy("batch").agg(F.count("*").alias("n_lines"), F.sum("size").alias("bytes")).withColumn("valid", A.valid_stamp(F.col("batch")))
 
 

@@ -41,7 +41,7 @@ def visible_text(spark, folder: str) -> DataFrame:
 def page_metadata(spark, folder: str) -> DataFrame:
     """Title, language, stated dates, article marks and body of every page."""
     read = _pages(spark, folder).select("doc_id", H.page_metadata("html").alias("m"))
-    return read.select("doc_id", "m.title", "m.lang", "m.has_article", F.size("m.dates").alias("n_dates"), F.col("m.dates")[0]["value"].alias("first_date"), "m.blocks", F.char_length("m.body").alias("body_chars"))
+    return read.select("doc_id", "m.title", "m.lang", "m.has_article", F.size("m.dates").alias("n_dates"), F.get("m.dates", F.lit(0))["value"].alias("first_date"), "m.blocks", F.char_length("m.body").alias("body_chars"))
 
 
 def jsonld_dates(spark, folder: str) -> DataFrame:

@@ -118,9 +118,9 @@ def reassemble(lines: DataFrame, group: str, number: str, line: str, start: Colu
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(bytes, md5, url, batch) of manifest lines, plain or gzipped; other lines are left out."""
-    parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where((F.size("p") == 3) & F.col("p")[0].rlike(r"^\d+$"))
-    batch = F.regexp_extract(F.col("p")[2], r"(?i)/(\d{14})\.", 1)
-    return parts.select(F.col("p")[0].cast("bigint").alias("bytes"), F.col("p")[1].alias("md5"), F.col("p")[2].alias("url"), F.nullif(batch, F.lit("")).alias("batch"))
+    parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where((F.size("p") == 3) & F.get("p", F.lit(0)).rlike(r"^\d+$"))
+    batch = F.regexp_extract(F.get("p", F.lit(2)), r"(?i)/(\d{14})\.", 1)
+    return parts.select(F.get("p", F.lit(0)).cast("bigint").alias("bytes"), F.get("p", F.lit(1)).alias("md5"), F.get("p", F.lit(2)).alias("url"), F.nullif(batch, F.lit("")).alias("batch"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
