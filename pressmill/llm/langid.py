@@ -42,6 +42,8 @@ LABELS = {
     "russian": "ru rus russian русский",
     "chinese": "zh zho chi cmn chinese mandarin 中文 汉语 简体中文",
 }
+# Labels that name no language.
+NO_LANGUAGE = ("", "-", "?", "mis", "mul", "n/a", "na", "none", "null", "und", "unk", "unknown", "xxx", "zxx")
 # Function words that start the fitting.
 SEEDS = {
     "english": "the of and to in for on with was is by from at that after before while over near which as its this",
@@ -62,7 +64,7 @@ def label_language(label: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     low = F.lower(F.trim(label))
     known = F.coalesce(pairs[low], pairs[F.regexp_extract(low, r"^([\p{L}]{2,3})[-_]", 1)])
-    none = low.isin("", "-", "unk", "und", "zxx", "xxx", "n/a", "na", "none", "null", "unknown", "mul", "mis", "?")
+    none = low.isin(*NO_LANGUAGE)
     return F.when(low.isNull() | none, None).otherwise(F.coalesce(known, F.when(low.rlike(r"^\p{L}{2,}"), F.lit("other"))))
 
 

@@ -44,6 +44,18 @@ def p3_found(spark, folder: str) -> DataFrame:
     return langid.label_cases(_labelled(spark, folder), "detected", "label").select("src_table", "record_id", "language")
 
 
+_LABELLED = (("timeline_data", "language"), ("evidence_sources", "language"), ("documents", "lang"))
+
+
+def p3_labels(spark, folder: str) -> DataFrame:
+    """What the labels of the three tables name, before any text is read."""
+    out = None
+    for name, column in _LABELLED:
+        rows = table(spark, folder, name).select(F.lit(name).alias("src_table"), langid.label_language(F.col(column)).alias("named"))
+        out = rows if out is None else out.unionAll(rows)
+    return out.groupBy("src_table", "named").agg(F.count("*").alias("n_rows"))
+
+
 def p3_segments(spark, folder: str) -> DataFrame:
     """Language and confidence of every segment of every page text."""
     documents = table(spark, folder, "documents")
@@ -108,6 +120,7 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
+    "p3_labels": p3_labels,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_items": p6_items,
@@ -116,4 +129,10 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
 }
-SQL: dict[str, str] = {}
+_NAMES = ", ".join(f"('{name}', '{language}')" for language, ns in langid.LABELS.items() for name in ns.split())
+_NONE = ", ".join(f"'{x}'" for x in langid.NO_LANGUAGE)
+SQL: dict[str, str] = {
+    "p3_labels": f"""WITH names(label, language) AS (VALUES {_NAMES}), l AS ({' UNION ALL '.join(f"SELECT '{t}' AS src_table, lower(trim({c}, ' ')) AS low FROM {t}" for t, c in _LABELLED)}),
+k AS (SELECT src_table, low, coalesce(a.language, b.language) AS known FROM l LEFT JOIN names a ON a.label = low LEFT JOIN names b ON b.label = regexp_extract(low, '^([\\p{{L}}]{{2,3}})[-_]', 1))
+SELECT src_table, CASE WHEN low IS NULL OR low IN ({_NONE}) THEN NULL WHEN known IS NOT NULL THEN known WHEN regexp_matches(low, '^\\p{{L}}{{2,}}') THEN 'other' END AS named, count(*) AS n_rows FROM k GROUP BY 1, 2""",
+}
