@@ -87,6 +87,13 @@ def timeline_first_deliveries(spark, folder: str, lateness_hours: int = 72) -> D
     return first_deliveries(rows, F.col("id"), F.col("intake"), F.col("record_id"), event, F.col("publisher"), lateness_hours)
 
 
+def p4_seen_counts(spark, folder: str) -> DataFrame:
+    """The same counters by seen date alone, without claims to fall back on."""
+    rows = table(spark, folder, "timeline_data").select("record_id", "id", "publisher", compact_utc_second(F.col("gdelt_seendate")).alias("seen"), F.unix_micros(F.try_to_timestamp("retrieved_at_utc")).alias("intake"))
+    first = first_deliveries(rows, F.col("id"), F.col("intake"), F.col("record_id"), F.col("seen"), F.col("publisher"), 72)
+    return _dated(totals(merge_snapshots(source_snapshots(first)))).withColumnRenamed("n", "n_events")
+
+
 def p4_found(spark, folder: str) -> DataFrame:
     """Record ids of first deliveries that came more than 72 hours after their UTC day's end."""
     return timeline_first_deliveries(spark, folder).where("late").select(F.col("tie").alias("record_id"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import html as H
-from pressmill.functions import text as T
 from pressmill.functions import urls as U
 from pressmill.operators import imports, sampling
 from pressmill.shared import ship
