@@ -24,6 +24,7 @@ import math
 import re
 import sys
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,7 @@ _WORD = re.compile(r"[^\W_]+")
 _LIMIT = np.uint64(2**64 - 1)
 
 
+@cache
 def _ignored(last: int) -> re.Pattern:
     spans, start = [], None
     for code in range(last + 2):
@@ -48,8 +50,8 @@ def _ignored(last: int) -> re.Pattern:
     return re.compile("[" + "".join(spans) + "]+")
 
 
-# A class within the basic plane is matched by table; the whole one is tried only where it is needed.
-_IGNORED, _IGNORED_ALL = _ignored(0xFFFE), _ignored(sys.maxunicode)
+# A class within the basic plane is matched by table; the whole one is made and tried only where it is needed.
+_IGNORED = _ignored(0xFFFE)
 
 
 def words_of(text: str) -> list[str]:
@@ -57,7 +59,7 @@ def words_of(text: str) -> list[str]:
     folded = text.casefold()
     if not folded.isascii():
         folded = unicodedata.normalize("NFKD", folded)
-        folded = (_IGNORED if max(folded) < "\uffff" else _IGNORED_ALL).sub("", folded)
+        folded = (_IGNORED if max(folded) < "\uffff" else _ignored(sys.maxunicode)).sub("", folded)
     return _WORD.findall(folded)
 
 
