@@ -304,5 +304,33 @@ def member_pairs(sets: DataFrame, classes: DataFrame, group: str, key: str) -> D
     return out.unionAll(within.select(group, F.col("ka").alias("a"), F.col("kb").alias("b"))).distinct()
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(set_id, group_id): sets that links (set_a, set_b) join, directly or over others; the least id names the group.
+
+    Every round takes the least label of the neighbours and then the label of that label,
+    so chains shorten by half; each round is a table in the shared folder.
+    """
+    edges = links.select(F.col("set_a").alias("x"), F.col("set_b").alias("y"))
+    edges = materialize(edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    labels = materialize(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        step = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "near").alias("new"))
+        jump = labels.select(F.col("x").alias("new"), F.col("label").alias("far"))
+        moved = materialize(step.join(jump, "new", "left").select("x", "old", F.least("new", F.coalesce("far", "new")).alias("label")), "labels")
+        if moved.where("old <> label").isEmpty():
+            return moved.select(F.col("x").alias("set_id"), F.col("label").alias("group_id"))
+        labels = moved.select("x", "label")
+
+
+def grouped_records(sets: DataFrame, classes: DataFrame, group: str, key: str) -> DataFrame:
+    """One row per record key and word set: its set, its group of alike sets, and the links of its set to others."""
+    sides = classes.select(F.col("set_a").alias("set_id")).unionAll(classes.select(F.col("set_b").alias("set_id")))
+    degree = sides.groupBy("set_id").agg(F.count("*").alias("n_links"))
+    members = sets.select(group, key, "set_id").distinct()
+    joined = members.join(components(classes), "set_id", "left").join(degree, "set_id", "left")
+    return joined.select(group, key, "set_id", F.coalesce("group_id", "set_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def has_han(text: Column) -> Column:
     return text.rlike(r"\p{IsHan}")

@@ -78,6 +78,13 @@ def p5_found(spark, folder: str) -> DataFrame:
     return neardup.member_pairs(sets, classes, "src_table", "id").select("src_table", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
+def p5_groups(spark, folder: str) -> DataFrame:
+    """Every compared text's id with its word set, its group of recurring texts and its set's links."""
+    sets = neardup.word_sets(_recurring(spark, folder), "src_table", "id", "text")
+    classes = materialize(neardup.similar_classes(sets, "src_table", 0.75), "classes")
+    return neardup.grouped_records(sets, classes, "src_table", "id")
+
+
 def _leaks(spark, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
@@ -122,6 +129,7 @@ QUERIES = {
     "p3_segments": p3_segments,
     "p3_labels": p3_labels,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p7_mix": p7_mix,

@@ -81,3 +81,33 @@ def test_empty(spark):
     df = spark.createDataFrame([], "g string, id string, text string")
     sets = N.word_sets(df, "g", "id", "text")
     assert N.member_pairs(sets, N.similar_classes(sets, "g", 0.75, sketch_bits=10), "g", "id").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    r = random.Random(seed)
+    links = [(a, a + 1) for a in range(100, 140)] + [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(7, 8)] * 3
+    links = [(a, b) for a, b in links if a != b]
+    parent = {x: x for e in links for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    got = {x.set_id: x.group_id for x in N.components(spark.createDataFrame(links, "set_a bigint, set_b bigint")).collect()}
+    assert got == {x: top(x) for x in parent}
+    assert N.components(spark.createDataFrame([], "set_a bigint, set_b bigint")).count() == 0
+
+
+def test_grouped_records(spark):
+    base = "one two three four five six seven eight"
+    rows = [("g", "a", base), ("g", "b", base + " nine"), ("g", "c", base + " nine ten"), ("g", "d", "something else entirely here"), ("h", "a", base), ("g", "e", base.upper())]
+    sets = N.word_sets(spark.createDataFrame(rows, "g string, id string, text string"), "g", "id", "text")
+    got = {(r.g, r.id): (r.group_id, r.n_links) for r in N.grouped_records(sets, N.similar_classes(sets, "g", 0.8), "g", "id").collect()}
+    assert got[("g", "a")] == got[("g", "e")] and got[("g", "a")][1] == 2
+    assert len({got[("g", x)][0] for x in "abce"}) == 1 and got[("g", "d")][1] == got[("h", "a")][1] == 0
+    assert got[("h", "a")][0] != got[("g", "a")][0]
