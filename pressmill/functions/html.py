@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import html
+import io
 import ipaddress
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import quote, urlsplit, urlunsplit
@@ -160,6 +163,25 @@ def body_text(page: str | None, url: str = "") -> str:
     return stated if len(stated) > len(text) else text
 
 
+def decode(raw: bytes | None, encoding: str | None, most_bytes: int = 5_000_000) -> str | None:
+    """Text of a saved response; null if its gzip is broken or expands beyond ``most_bytes``."""
+    if raw is None:
+        return None
+    if (encoding or "").strip().lower() == "gzip":
+        try:
+            with gzip.GzipFile(fileobj=io.BytesIO(raw)) as stream:
+                raw = stream.read(most_bytes + 1)
+        except (OSError, EOFError, zlib.error):
+            return None
+        if len(raw) > most_bytes:
+            return None
+    return bytes(raw).decode("utf-8", "replace")
+
+
+def _decoded(raws: pd.Series, encodings: pd.Series) -> pd.Series:
+    return pd.Series([decode(r, e) for r, e in zip(raws, encodings, strict=True)], dtype=object)
+
+
 def _visible_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: "\n".join(visible_parts(p)))
 
@@ -225,6 +247,7 @@ def _wire_url(urls: pd.Series) -> pd.Series:
 
 # The type of each function's result; the UDFs are made when called, since that needs a session.
 _TYPES = {
+    "decoded": "string",
     "visible_text": "string",
     "page_metadata": "struct<title:string,lang:string,locale:string,has_article:boolean,dates:array<struct<name:string,value:string>>,blocks:int,body:string>",
     "jsonld_dates": "array<struct<field:string,value:string,location:string>>",
@@ -237,6 +260,11 @@ def _made(name: str, *columns) -> Column:
     return F.pandas_udf(globals()[f"_{name}"], _TYPES[name])(*columns)
 
 
+def decoded(raw, encoding) -> Column:
+    """Text of a saved response's bytes under its content encoding, null where they can't be decoded."""
+    return _made("decoded", raw, encoding)
+
+
 def visible_text(page) -> Column:
     """Visible text of a page, one line per text node."""
     return _made("visible_text", page)

@@ -90,8 +90,11 @@ def paragraphs(text: Column, least_letters: int = 80) -> Column:
 ERROR_TITLES = ("not found", "access denied", "forbidden", "are you a robot", "error 404", "page unavailable", "just a moment", "subscribe to continue")
 
 
+PAGE_TYPES = ("text/html", "application/xhtml+xml")
+
+
 def quality_status(fetched: Column, title: Column, text: Column, least_chars: int = 600, least_letters: int = 300) -> Column:
-    """The first gate a page fails, or usable."""
+    """The first gate a page fails, or usable, of the gates that need nothing but its title and text; ``page_status`` has all."""
     size, letters, broken = F.char_length(text), alphabetic(text), F.char_length(text) - F.char_length(F.replace(text, F.lit("�"), F.lit("")))
     wrong = F.lit(False)
     for phrase in ERROR_TITLES:
@@ -103,6 +106,25 @@ def quality_status(fetched: Column, title: Column, text: Column, least_chars: in
     )
 
 
+def page_status(
+    read: Column, content_type: Column, decoded: Column, home_redirect: Column, has_article: Column, score: Column, margin: Column, margin_per_letter: Column, agreement: Column, html_disagrees: Column,
+    least_agreement: float = 0.8, least_margin: float = 0.02,
+) -> Column:
+    """The first gate of the whole cascade a page fails, or usable; ``read`` is its ``quality_status``.
+
+    Unknown is not passed: without a content type, decoded bytes, an article mark or a finite score a page stops there.
+    """
+    of_type = F.lower(F.trim(F.substring_index(content_type, ";", 1))).isin(*PAGE_TYPES)
+    fails = lambda gate: ~F.coalesce(gate, F.lit(False))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return (
+        F.when(read == "not fetched", read).when(fails(of_type), "content type").when(fails(decoded), "not decoded").when(read == "error title", read).when(F.coalesce(home_redirect, F.lit(False)), "home page redirect")
+        .when(read.isin("no body", "short", "no structure"), read).when(fails(has_article), "no article mark").when(read == "broken characters", read)
+        .when(~finite(score) | ~finite(margin), "score not finite").when(fails(agreement >= least_agreement), "chunks disagree").when(fails(margin_per_letter >= least_margin), "low margin")
+        .when(F.coalesce(html_disagrees, F.lit(False)), "html and model disagree").otherwise("usable")
+    )
+
+
 _UNUSABLE = ("und", "unk", "xxx", "zxx")
 
 

@@ -102,6 +102,45 @@ class LanguageModel:
             self.cache[word] = out
         return out
 
+    def scores_of(self, text: str) -> np.ndarray | None:
+        """Log score of the whole text in each language, null if no word could be scored."""
+        tokens, get = _TOKEN.findall(text), self.words.get
+        found = [get(t, 0) for t in tokens]
+        unknown = np.zeros(len(LANGUAGES))
+        n = 0
+        for j, k in enumerate(found):
+            if not k:
+                token = tokens[j]
+                if "㐀" <= token[0] <= "鿿":
+                    found[j] = get("一", 0)
+                elif len(token) > 2 and token[0].islower() and (row := self.backoff(token)).any():
+                    unknown += row
+                    n += 1
+        n += len(found) - found.count(0)
+        return self.scores[found].sum(axis=0, dtype=np.float64) + unknown if n else None
+
+    def vote(self, text: str | None, most_chars: int = 24_000, least_letters: int = 100) -> tuple[list[str], float, float, float, float]:
+        """Five best languages, score of the best, its margin, margin a letter, and share of the three chunks' letters that agree.
+
+        Scores are sums of log frequencies, no probabilities of truth; a text without scored words has none (not a number).
+        """
+        text = (text or "")[:most_chars]
+        total = self.scores_of(text)
+        if total is None:
+            return [], math.nan, math.nan, math.nan, 0.0
+        order = np.argsort(-total, kind="stable")
+        score, margin = float(total[order[0]]), float(total[order[0]] - total[order[1]])
+        width = min(1200, max(200, len(text) // 3))
+        votes: Counter = Counter()
+        for start in sorted({0, max(0, (len(text) - width) // 2), max(0, len(text) - width)}):
+            chunk = text[start : start + width]
+            letters = sum(c.isalpha() for c in chunk)
+            if letters >= least_letters:
+                part = self.scores_of(chunk)
+                votes[None if part is None else int(part.argmax())] += letters
+        agreement = votes[int(order[0])] / votes.total() if votes else 0.0
+        return [LANGUAGES[k] for k in order[:5]], score, margin, margin / max(1, sum(c.isalpha() for c in text)), agreement
+
     def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each segment: its text's index, best language, confidence, scored words, and known ones among them."""
         owner, ids, unknown, counts = [], [], [], []
@@ -269,6 +308,22 @@ def language_udf(spark: SparkSession, model: LanguageModel, least_words: int = 5
     return detect
 
 
+VOTE = "struct<languages:array<string>,score:double,margin:double,margin_per_letter:double,agreement:double>"
+
+
+def vote_udf(spark: SparkSession, model: LanguageModel):
+    """Arrow UDF: text -> five best languages, score, margin, margin a letter and agreement of three chunks."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(VOTE)
+    def vote(texts: pd.Series) -> pd.DataFrame:
+        rows = [shared.value.vote(t) for t in texts.tolist()]
+        return pd.DataFrame(rows, columns=["languages", "score", "margin", "margin_per_letter", "agreement"])
+
+    return vote
+
+
 def segment_languages(df: DataFrame, text: str, model: LanguageModel, keys: list[str]) -> DataFrame:
     """One row per segment with scored words: keys, segment number, language, confidence, words."""
     ship(df.sparkSession)

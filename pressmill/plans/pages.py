@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import html as H
@@ -17,18 +17,21 @@ def _pages(spark, folder: str) -> DataFrame:
     """A saved page written around every document: head, metas, JSON-LD, hidden parts, paragraphs."""
     ship(spark)
     rows = table(spark, folder, "documents").where("text is not null")
+    return rows.select("doc_id", "url", "text", _written().alias("html"))
+
+
+def _written() -> Column:
     escape = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;")
     day = F.date_format("crawled_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     other = F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.lit("https://elsewhere.example/x").alias("url"), F.lit("2001-01-01").alias("datePublished")))
     own = F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.concat("url", F.lit("#main")).alias("@id"), day.alias("datePublished")))
     graph = F.concat(F.lit('{"@graph":['), other, F.lit(","), own, F.lit("]}"))
     paragraphs = F.concat(F.lit("<p>"), F.array_join(F.split(escape(F.col("text")), r"\r?\n+", -1), "</p>\n<p>"), F.lit("</p>"))
-    page = F.concat(
+    return F.concat(
         F.lit('<!doctype html><html lang="'), F.coalesce("lang", F.lit("und")), F.lit('"><head><title>'), escape(F.coalesce("topic", F.lit(""))), F.lit("</title><style>p{color:red}</style>"),
         F.lit('<meta property="og:type" content="article"><meta property="article:published_time" content="'), F.coalesce(day, F.lit("")), F.lit('"><script type="application/ld+json">'),
         F.coalesce(graph, F.lit("{}")), F.lit("</script></head><body><noscript>no script</noscript><article>"), paragraphs, F.lit("</article></body></html>"),
     )
-    return rows.select("doc_id", "url", "text", page.alias("html"))
 
 
 def visible_text(spark, folder: str) -> DataFrame:
