@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import urls as U
+from pressmill.llm import langid
 from pressmill.operators import archive as A
 from pressmill.tables import table
 
@@ -37,7 +38,7 @@ def archive_asof_dedup(spark, folder: str) -> DataFrame:
 
 
 def archive_language_share(spark, folder: str) -> DataFrame:
-    """Share of energy pages among each language's documents first seen on each day."""
+    """Share of energy pages among documents labelled english, german or russian first seen on each day of 2025-07-01 to 2026-06-30; ``archive_language_share_all`` has every language and day."""
     rows = _observations(spark, folder).where("document_id is not null")
     first = A.deduplicate_as_of(rows, ["document_id"]).select("document_id", "language", F.substring("batch", 1, 8).alias("bin"), F.get(F.split("document_id", "/"), F.lit(1)).alias("topic"))
     days = F.sequence(F.lit("2025-07-01").cast("date"), F.lit("2026-06-30").cast("date"))
@@ -46,6 +47,20 @@ def archive_language_share(spark, folder: str) -> DataFrame:
     return A.observed_share(first, expected, "energy").withColumn("share", F.round("share", 6))
 
 
+def archive_language_share_all(spark, folder: str) -> DataFrame:
+    """Share of energy pages among each language's documents first seen on each day, for every usable label's language and every day from the first batch to the last."""
+    named = langid.label_language(F.col("language"))
+    # names and codes of one language are one; a label outside the six stays as it is
+    language = F.when(named == "other", F.trim("language")).otherwise(named)
+    rows = _observations(spark, folder).withColumn("language", language)
+    topic = F.nullif(F.get(F.split("document_id", "/"), F.lit(1)), F.lit(""))
+    first = A.deduplicate_as_of(rows.where("document_id is not null"), ["document_id"]).select("language", F.substring("batch", 1, 8).alias("bin"), topic.alias("topic"))
+    day = F.try_to_date(F.substring("batch", 1, 8), "yyyyMMdd")
+    days = rows.agg(F.min(day).alias("low"), F.max(day).alias("high")).where("low is not null").select(F.explode(F.sequence("low", "high")).alias("day"))
+    expected = rows.where("language is not null").select("language").distinct().crossJoin(days).select("language", F.date_format("day", "yyyyMMdd").alias("bin"))
+    return A.observed_share(first, expected, "energy").withColumn("share", F.round("share", 6))
+
+
 def archive_collisions(spark, folder: str) -> DataFrame:
     """Digests that name more than one document."""
     return A.collisions(table(spark, folder, "documents").select(F.md5("text").alias("digest"), "doc_id"), "digest", "doc_id")
@@ -163,7 +178,7 @@ def weighted_vote(spark, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        archive_project, archive_asof_dedup, archive_language_share, archive_collisions, archive_repeats, archive_language_by_bin, archive_distinct_docs, archive_domains,
+        archive_project, archive_asof_dedup, archive_language_share, archive_language_share_all, archive_collisions, archive_repeats, archive_language_by_bin, archive_distinct_docs, archive_domains,
         mention_links, mention_event_lastwins, file_checksum_agreement, manifest_scan, size_estimates, union_priority_dedup, stream_overlap, group_stats, sample_hash_topk, weighted_vote,
     )
 }
@@ -182,6 +197,8 @@ _OBS = rf"""obs AS (SELECT record_id, id, lower(language) AS language, substr(s,
   {_page('url')} AS document_id, {_host('url')} AS domain FROM (SELECT *, regexp_replace(gdelt_seendate, '[TZ]', '', 'g') AS s FROM timeline_data))"""
 _DEDUP = """firsts AS (SELECT document_id, min(batch) AS batch FROM obs WHERE document_id IS NOT NULL AND batch IS NOT NULL {cut} GROUP BY 1),
 dedup AS (SELECT document_id, batch, min(record_id) AS record_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) END AS language FROM obs JOIN firsts USING (document_id, batch) GROUP BY 1, 2)"""
+_NAMES = ", ".join(f"('{name}', '{language}')" for language, ns in langid.LABELS.items() for name in ns.split())
+_NONE = ", ".join(f"'{x}'" for x in langid.NO_LANGUAGE)
 SQL = {
     "archive_project": """SELECT CASE WHEN l_returnflag = 'R' THEN 5 ELSE 6 END::INT AS n_fields, l_returnflag AS flag, count(*) AS n_lines, count(*) FILTER (l_returnflag <> 'R') AS n_kept,
 sum(CASE WHEN l_returnflag <> 'R' THEN l_suppkey END)::BIGINT AS sum_supplier FROM lineitem GROUP BY 1, 2""",
@@ -191,6 +208,15 @@ e AS (SELECT language, strftime(day, '%Y%m%d') AS bin FROM (VALUES ('english'),
 b AS (SELECT bin, count(*) AS n_bin FROM d GROUP BY 1), u AS (SELECT language, bin, count(*) AS n_all, count(*) FILTER (topic = 'energy') AS n_topic FROM d WHERE language IS NOT NULL GROUP BY 1, 2)
 SELECT e.language, e.bin, CASE WHEN n_bin IS NULL THEN 'missing_bin' WHEN n_all IS NULL THEN 'no_usable_language_exposure' ELSE 'observed' END AS status, n_topic, n_all, round(n_topic::DOUBLE / nullif(n_all, 0), 6) AS share
 FROM e LEFT JOIN b USING (bin) LEFT JOIN u USING (language, bin)""",
+    "archive_language_share_all": rf"""WITH names(label, name) AS (VALUES {_NAMES}), {_OBS.replace('obs AS', 'raw AS')},
+obs AS (SELECT r.* EXCLUDE (language), CASE WHEN trim(language, ' ') IN ({_NONE}) THEN NULL WHEN coalesce(a.name, b.name) IS NOT NULL THEN coalesce(a.name, b.name) WHEN regexp_matches(trim(language, ' '), '^\p{{L}}{{2,}}') THEN trim(language, ' ') END AS language
+  FROM raw r LEFT JOIN names a ON a.label = trim(language, ' ') LEFT JOIN names b ON b.label = regexp_extract(trim(language, ' '), '^([\p{{L}}]{{2,3}})[-_]', 1)),
+{_DEDUP.format(cut='')}, d AS (SELECT language, substr(batch, 1, 8) AS bin, nullif(split_part(document_id, '/', 2), '') AS topic FROM dedup),
+days AS (SELECT min(strptime(substr(batch, 1, 8), '%Y%m%d')) AS low, max(strptime(substr(batch, 1, 8), '%Y%m%d')) AS high FROM obs),
+e AS (SELECT language, strftime(day, '%Y%m%d') AS bin FROM (SELECT DISTINCT language FROM obs WHERE language IS NOT NULL), (SELECT unnest(generate_series(low, high, INTERVAL 1 DAY)) AS day FROM days)),
+b AS (SELECT bin, count(*) AS n_bin FROM d GROUP BY 1), u AS (SELECT language, bin, count(*) AS n_all, count(*) FILTER (topic = 'energy') AS n_topic, count(*) FILTER (topic IS NULL) AS n_unknown FROM d WHERE language IS NOT NULL GROUP BY 1, 2)
+SELECT e.language, e.bin, CASE WHEN n_bin IS NULL THEN 'missing_bin' WHEN n_all IS NULL THEN 'no_usable_language_exposure' WHEN n_unknown > 0 THEN 'topic_membership_unverified' ELSE 'observed' END AS status,
+CASE WHEN n_unknown = 0 THEN n_topic END AS n_topic, n_all, CASE WHEN n_unknown = 0 THEN round(n_topic::DOUBLE / nullif(n_all, 0), 6) END AS share FROM e LEFT JOIN b USING (bin) LEFT JOIN u USING (language, bin)""",
     "archive_collisions": """SELECT md5(text) AS digest, count(*) AS n_documents, count(*) AS n_rows, min(doc_id) AS first_document, max(doc_id) AS last_document
 FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
     "archive_repeats": f"""WITH {_OBS}, o AS (SELECT *, coalesce(language, '?') AS lang FROM obs WHERE document_id IS NOT NULL AND batch IS NOT NULL),
