@@ -9,7 +9,8 @@ are left out. A language belongs to a text if a whole segment is in it.
 
 The model is fitted in the query on a bounded sample of labelled texts (``per_language``
 texts of each language, ``chars_per_text`` characters of each) whose sentences agree with
-function words of the label's language. Everything else covers all rows and whole texts.
+function words of the label's language. Everything else covers all rows and whole texts;
+furniture is counted over all of them, and is what recurs on a share of the pages.
 
 Defined results: null, empty or wordless texts get empty arrays; a label that is null,
 blank or names no language is ``missing``; repeated rows are scored alike; rows and other
@@ -215,8 +216,8 @@ class LanguageModel:
         return out
 
 
-def fit(samples: list[tuple[str, str]], least_texts: int = 4, longest_gram: int = 5) -> LanguageModel:
-    """Fit on (language, text) pairs, keeping sentences that agree with their label's function words."""
+def fit(samples: list[tuple[str, str]], least_texts: int = 4, longest_gram: int = 5, furniture: frozenset[str] | None = None) -> LanguageModel:
+    """Fit on (language, text) pairs, keeping sentences that agree with their label's function words; furniture not given is what recurs in three of the texts."""
     seeds = {lang: set(ws.split()) for lang, ws in SEEDS.items()}
     texts_with: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
     uses: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
@@ -273,23 +274,38 @@ def fit(samples: list[tuple[str, str]], least_texts: int = 4, longest_gram: int
             row = [math.log(counts[lang][g] / total[lang]) if counts[lang][g] else _FLOOR for lang in LANGUAGES]
             table[g] = np.asarray([max(_FLOOR, x) for x in row], np.float32)
         grams.append(table)
-    return LanguageModel(words, scores, grams, frozenset(s for s, n in lines.items() if n >= 3))
+    return LanguageModel(words, scores, grams, frozenset(s for s, n in lines.items() if n >= 3) if furniture is None else furniture)
 
 
-def fit_from(df: DataFrame, key: str, text: str, label: str, per_language: int = 300, chars_per_text: int = 20_000) -> LanguageModel:
+def recurring_lines(df: DataFrame, text: str, share: float = 0.001, least_pages: int = 3, longest: int = 60) -> frozenset[str]:
+    """Short lines that stand on at least ``share`` of all pages, and on ``least_pages``, counted over whole texts.
+
+    At most 1 / ``share`` times a page's mean number of short lines reach the driver.
+    """
+    at_least = max(least_pages, math.ceil(df.count() * share))
+    lines = F.transform(F.split(F.col(text), r"[\r\n]+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    short = F.array_distinct(F.filter(lines, lambda x: F.char_length(x).between(1, longest)))
+    counted = df.select(F.explode(short).alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    return frozenset(row.line.strip() for row in counted.select("line").collect())
+
+
+def fit_from(df: DataFrame, key: str, text: str, label: str, per_language: int = 300, chars_per_text: int = 20_000, furniture: frozenset[str] | None = None) -> LanguageModel:
     """Fit on at most ``per_language`` labelled texts of each language, chosen by the hash of their key.
 
     Only keys and labels are ranked; the bounded choice of texts (at most six times
-    ``per_language``, each of ``chars_per_text``) is the one thing sent to the driver.
+    ``per_language``, each of ``chars_per_text``) is sent to the driver, and the furniture
+    of all texts where it isn't given.
     """
+    if furniture is None:
+        furniture = recurring_lines(df, text)
     keyed = df.select(F.col(key).alias("k"), label_language(F.col(label)).alias("lang")).where(F.col("lang").isin(*LANGUAGES))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
     chosen = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("k", "lang").collect()
     languages = {row.k: row.lang for row in chosen}
     if not languages:
-        return fit([])
+        return fit([], furniture=furniture)
     texts = df.where(F.col(key).isin(list(languages)) & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.substring(text, 1, chars_per_text).alias("t")).collect()
-    return fit(sorted((languages[row.k], row.t) for row in texts))
+    return fit(sorted((languages[row.k], row.t) for row in texts), furniture=furniture)
 
 
 RESULT = "struct<languages:array<string>,confidence:array<double>,words:array<int>>"

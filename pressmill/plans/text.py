@@ -69,7 +69,7 @@ def page_quality_gates(spark, folder: str) -> DataFrame:
     html = H.decoded(F.encode(_written(), "UTF-8"), F.lit(None).cast("string"))
     read = documents.select("doc_id", "url", "text", html.alias("html")).withColumn("m", H.page_metadata("html"))
     read = read.withColumn("read", T.quality_status(F.col("url").isNotNull(), F.col("m.title"), F.col("text")))
-    vote = langid.vote_udf(spark, langid.fit_from(documents, "doc_id", "text", "lang"))
+    vote = langid.vote_udf(spark, langid.fit_from(documents, "doc_id", "text", "lang", furniture=frozenset()))  # votes read whole texts
     # a page that stops at a gate on its title and text alone needs no votes
     voted = read.withColumn("v", vote(F.when(F.col("read") == "usable", F.col("text"))))
     disagrees = langid.label_language(F.col("m.lang")) != F.get("v.languages", F.lit(0))
