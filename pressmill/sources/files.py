@@ -124,13 +124,42 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of saved XML listing pages; pages that declare a document type are refused."""
-    pages = spark.read.text(path, wholetext=True).where(F.upper("value").rlike("<!(DOCTYPE|ENTITY)"))
-    if not pages.isEmpty():
+    """Objects of saved XML listing pages; pages that declare a document type, or are not the whole listing, are refused.
+
+    The pages of a whole listing form one chain: a first page without a continuation token, then each
+    page's next token asked for by exactly one other, up to one page that is not truncated. A single
+    document that has no mark of paging at all is an unpaged listing.
+    """
+    pages = spark.read.text(path, wholetext=True)
+    if not pages.where(F.upper("value").rlike("<!(DOCTYPE|ENTITY)")).isEmpty():
         raise ValueError("a listing page declares a document type")
+    value = lambda name: F.nullif(F.trim(F.regexp_extract("value", rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</", 1)), F.lit(""))
+    marks = [(r.truncated, r.token, r.next) for r in pages.select(F.lower(value("IsTruncated")).alias("truncated"), value("ContinuationToken").alias("token"), value("NextContinuationToken").alias("next")).collect()]
+    if marks != [(None, None, None)]:
+        _prove_whole(marks)
     return spark.read.format("xml").option("rowTag", "Contents").schema("Key string, LastModified string, ETag string, Size bigint").load(path)
 
 
+def _prove_whole(marks: list[tuple[str | None, str | None, str | None]]) -> None:
+    """Raise unless pages (truncated, token, next token) are one chain from a first page to an untruncated last one."""
+    by_token = {token: (truncated, following) for truncated, token, following in marks}
+    if len(by_token) != len(marks):
+        raise ValueError("two listing pages answer the same continuation token")
+    at, seen = None, set()
+    while True:
+        if at not in by_token or at in seen:
+            raise ValueError("the listing is incomplete: a page is missing or its tokens run in a circle")
+        seen.add(at)
+        truncated, following = by_token[at]
+        if truncated not in ("true", "false") or (truncated == "true") != (following is not None):
+            raise ValueError("the listing is incomplete: a page doesn't state whether another follows")
+        if truncated == "false":
+            break
+        at = following
+    if len(seen) != len(marks):
+        raise ValueError("listing pages belong to no chain")
+
+
 def newest_responses(meta: DataFrame, bodies: DataFrame) -> DataFrame:
     """The newest attempt of each cached request with its body; ``intact`` tells whether the digest still holds."""
     last = meta.groupBy("cache_key").agg(F.max(F.struct("attempt", "status", "sha256", "file")).alias("m")).select("cache_key", "m.*")
