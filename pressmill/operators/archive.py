@@ -39,12 +39,14 @@ def deduplicate_as_of(rows: DataFrame, keys: list[str], cutoff: str | None = Non
 def observed_share(documents: DataFrame, expected: DataFrame, topic: str) -> DataFrame:
     """Per expected language and bin: documents on the topic among all first seen then, with the reason where there is no share.
 
-    ``documents`` has language, bin, topic; ``expected`` language and bin.
+    ``documents`` has language, bin, topic; ``expected`` language and bin. Where a document's topic is
+    unknown (null), the share is not known either.
     """
     by_bin = documents.groupBy("bin").agg(F.count("*").alias("n_bin"))
-    usable = documents.where("language is not null").groupBy("language", "bin").agg(F.count("*").alias("n_all"), F.count_if(F.col("topic") == topic).alias("n_topic"))
+    usable = documents.where("language is not null").groupBy("language", "bin").agg(F.count("*").alias("n_all"), F.count_if(F.col("topic") == topic).alias("n_on_topic"), F.count_if(F.col("topic").isNull()).alias("n_unknown"))
     rows = expected.join(by_bin, "bin", "left").join(usable, ["language", "bin"], "left")
-    status = F.when(F.col("n_bin").isNull(), "missing_bin").when(F.col("n_all").isNull(), "no_usable_language_exposure").otherwise("observed")
+    status = F.when(F.col("n_bin").isNull(), "missing_bin").when(F.col("n_all").isNull(), "no_usable_language_exposure").when(F.col("n_unknown") > 0, "topic_membership_unverified").otherwise("observed")
+    rows = rows.withColumn("n_topic", F.when(F.col("n_unknown") == 0, F.col("n_on_topic")))
     return rows.select("language", "bin", status.alias("status"), "n_topic", "n_all", F.try_divide(F.col("n_topic").cast("double"), F.col("n_all")).alias("share"))
 
 

@@ -3,6 +3,7 @@
 import pandas as pd
 
 import __spark_entry__ as entry
+from pressmill.operators import archive as A
 
 
 def timeline(spark, tmp_path, rows):
@@ -27,3 +28,18 @@ def test_no_document_is_lost(spark, folder):
     rows = entry.queries()["archive_language_share_all"](spark, folder).toPandas()
     three = entry.queries()["archive_language_share"](spark, folder).toPandas()
     assert rows["n_all"].sum() > three["n_all"].sum() and set(rows["language"]) >= {"english", "german", "russian", "spanish", "french", "chinese"}
+
+
+def test_unknown_topics_leave_no_share(spark, tmp_path):
+    folder = timeline(spark, tmp_path, [
+        ("1", "a", "https://a.example/energy/1", "en", "20250629T101500Z", "p"), ("2", "b", "https://b.example/", "en", "20250629T111500Z", "p"), ("3", "c", "https://a.example/energy/3", "en", "20250630T101500Z", "p"),
+    ])
+    got = {r.bin: (r.status, r.n_topic, r.n_all, r.share) for r in entry.queries()["archive_language_share_all"](spark, folder).collect()}
+    assert got["20250629"] == ("topic_membership_unverified", None, 2, None) and got["20250630"] == ("observed", 1, 1, 1.0)
+
+
+def test_unknown_topics_of_the_operator(spark):
+    docs = spark.createDataFrame([("eng", "b1", "x"), ("eng", "b1", None), ("spa", "b1", "x"), (None, "b1", None)], "language string, bin string, topic string")
+    expected = spark.createDataFrame([("eng", "b1"), ("spa", "b1")], "language string, bin string")
+    got = {r.language: (r.status, r.n_topic, r.n_all, r.share) for r in A.observed_share(docs, expected, "x").collect()}
+    assert got == {"eng": ("topic_membership_unverified", None, 2, None), "spa": ("observed", 1, 1, 1.0)}
