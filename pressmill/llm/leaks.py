@@ -6,7 +6,8 @@ containment search: documents are cut into overlapping windows of twice the pass
 that each passage lies whole in one of them; the windows are partitioned by their number
 of word shingles, and each partition draws as many min-hashes as its upper size bound
 needs for a passage's shingles, all of them contained, to be missed with a probability
-of at most ``miss``. A candidate is kept only if a passage's whole words are found in
+of at most ``miss``. A passage that repeats itself has fewer distinct shingles than that
+counts on, so it is looked up whole instead. A candidate is kept only if a passage's whole words are found in
 the document (exact shingle containment).
 
 Items are a stated query set: they are sent to the executors in blocks of bounded size
@@ -103,6 +104,7 @@ class PassageIndex:
         self.draws = [1 if u == self.inside else math.ceil(math.log(miss) / math.log(1 - self.inside / u)) for u in self.bounds]
         self.seeds = _mix(np.arange(1, max(self.draws) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.exact: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+        repetitive: list[np.ndarray] = []
         found: list[list[np.ndarray]] = [[] for _ in self.seeds]
         owner: list[np.ndarray] = []
         for key, text in items:
@@ -116,9 +118,13 @@ class PassageIndex:
             for b, seed in enumerate(self.seeds):
                 v = _mix(small ^ seed)
                 found[b].append(np.lib.stride_tricks.sliding_window_view(v, self.inside).min(axis=1))
-            for at, g in enumerate(_grams(h, passage).tolist()):
+            whole = _grams(h, passage)
+            ordered = np.sort(np.lib.stride_tricks.sliding_window_view(small, self.inside), axis=1)
+            repetitive.append(whole[(ordered[:, 1:] == ordered[:, :-1]).any(axis=1)])
+            for at, g in enumerate(whole.tolist()):
                 self.exact.setdefault(g, []).append((key, tuple(words[at : at + passage])))
         self.keys = np.sort(np.fromiter(self.exact, np.uint64, len(self.exact)))
+        self.repetitive = np.unique(np.concatenate(repetitive)) if repetitive else np.zeros(0, np.uint64)
         self.tables = []
         owners = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         for values in found:
@@ -189,6 +195,10 @@ class PassageIndex:
         by_text: dict[int, set[int]] = {}
         for k, item in self.candidates(np.concatenate(parts), np.concatenate(starts), np.concatenate(ends), owners).tolist():
             by_text.setdefault(k, set()).add(item)
+        if len(self.repetitive):
+            for k, h in enumerate(hashed):
+                for g in np.intersect1d(_grams(h, self.passage), self.repetitive).tolist():
+                    by_text.setdefault(k, set()).update(item for item, _ in self.exact[g])
         for k, items in sorted(by_text.items()):
             index, words = block[k]
             hits: dict[int, int] = {}
