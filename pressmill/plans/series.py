@@ -87,11 +87,21 @@ def _order_days(spark, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def series_gap_islands(spark, folder: str) -> DataFrame:
-    """Runs of calendar days with orders, per order status."""
+    """Runs of calendar days with orders, per order status, on the days 1995-01-01 to 2001-07-31; ``series_gap_islands_all`` has every day of the table."""
     expected, days = _order_days(spark, folder)
     return S.islands(expected.join(days, ["topic", "bin"], "left"), F.col("n").isNotNull())
 
 
+def series_gap_islands_all(spark, folder: str) -> DataFrame:
+    """Runs of calendar days with orders, per order status, on every day from the table's first order to its last."""
+    _, days = _order_days(spark, folder)
+    day = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz")
+    span = table(spark, folder, "orders").agg(F.min(day).alias("low"), F.max(day).alias("high")).where("low is not null")
+    moments = span.select(F.explode(F.sequence("low", "high", F.expr("INTERVAL '1' DAY"))).alias("moment")).select(S.label_of(F.col("moment")).alias("bin"))
+    expected = days.select("topic").distinct().crossJoin(moments)
+    return S.islands(expected.join(days, ["topic", "bin"], "left"), F.col("n").isNotNull())
+
+
 def coverage_inventory(spark, folder: str) -> DataFrame:
     """Calendar coverage of orders per status."""
     return S.coverage(*_order_days(spark, folder))
@@ -143,7 +153,7 @@ def series_points_from_json(spark, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        series_trailing_baseline, series_raw_baseline, series_preceding_values, series_adjacent_deltas, series_gap_islands, series_normalisation_checks,
+        series_trailing_baseline, series_raw_baseline, series_preceding_values, series_adjacent_deltas, series_gap_islands, series_gap_islands_all, series_normalisation_checks,
         series_numerator_failures, series_best_alert, series_rollup_vs_daily, series_points_from_json, coverage_inventory,
     )
 }
@@ -167,6 +177,13 @@ SELECT topic, minutes, count(*) AS n_gaps FROM gaps WHERE minutes IS NOT NULL GR
 seen AS (SELECT topic, bin, n IS NOT NULL AS s FROM grid LEFT JOIN days USING (topic, bin)),
 steps AS (SELECT *, CASE WHEN s AND NOT coalesce(lag(s) OVER w, false) THEN 1 ELSE 0 END AS starts, max(bin) OVER (PARTITION BY topic) AS last FROM seen WINDOW w AS (PARTITION BY topic ORDER BY bin)),
 runs AS (SELECT *, sum(starts) OVER (PARTITION BY topic ORDER BY bin)::BIGINT AS run FROM steps)
+SELECT topic, run, min(bin) AS first_bin, max(bin) AS last_bin, count(*) AS n_bins, max(bin) = max(last) AS open_ended FROM runs WHERE s GROUP BY 1, 2""",
+    "series_gap_islands_all": """WITH days AS (SELECT o_orderstatus AS topic, strftime(o_orderdate, '%Y%m%d000000') AS bin, count(*) AS n FROM orders GROUP BY 1, 2),
+span AS (SELECT min(date_trunc('day', o_orderdate)) AS low, max(date_trunc('day', o_orderdate)) AS high FROM orders),
+grid AS (SELECT topic, strftime(day, '%Y%m%d%H%M%S') AS bin FROM (SELECT DISTINCT topic FROM days), (SELECT unnest(generate_series(low::TIMESTAMP, high::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM span)),
+seen AS (SELECT topic, bin, n IS NOT NULL AS s FROM grid LEFT JOIN days USING (topic, bin)),
+steps AS (SELECT *, CASE WHEN s AND NOT coalesce(lag(s) OVER w, false) THEN 1 ELSE 0 END AS starts, max(bin) OVER (PARTITION BY topic) AS last FROM seen WINDOW w AS (PARTITION BY topic ORDER BY bin)),
+runs AS (SELECT *, sum(starts) OVER (PARTITION BY topic ORDER BY bin)::BIGINT AS run FROM steps)
 SELECT topic, run, min(bin) AS first_bin, max(bin) AS last_bin, count(*) AS n_bins, max(bin) = max(last) AS open_ended FROM runs WHERE s GROUP BY 1, 2""",
     "series_normalisation_checks": f"""WITH {_SQL_ALIGNED},
 r AS (SELECT topic, n, total, round(n * 100.0 / total, 6) AS percent FROM numerator JOIN denominator USING (bin) WHERE total > 0),
