@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.functions import labels as L
 from pressmill.functions import urls as U
-from pressmill.llm import langid
 from pressmill.operators import archive as A
 from pressmill.tables import table
 
@@ -49,7 +49,7 @@ def archive_language_share(spark, folder: str) -> DataFrame:
 
 def archive_language_share_all(spark, folder: str) -> DataFrame:
     """Share of energy pages among each language's documents first seen on each day, for every usable label's language and every day from the first batch to the last."""
-    named = langid.label_language(F.col("language"))
+    named = L.label_language(F.col("language"))
     # names and codes of one language are one; a label outside the six stays as it is
     language = F.when(named == "other", F.trim("language")).otherwise(named)
     rows = _observations(spark, folder).withColumn("language", language)
@@ -197,8 +197,8 @@ _OBS = rf"""obs AS (SELECT record_id, id, lower(language) AS language, substr(s,
   {_page('url')} AS document_id, {_host('url')} AS domain FROM (SELECT *, regexp_replace(gdelt_seendate, '[TZ]', '', 'g') AS s FROM timeline_data))"""
 _DEDUP = """firsts AS (SELECT document_id, min(batch) AS batch FROM obs WHERE document_id IS NOT NULL AND batch IS NOT NULL {cut} GROUP BY 1),
 dedup AS (SELECT document_id, batch, min(record_id) AS record_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) END AS language FROM obs JOIN firsts USING (document_id, batch) GROUP BY 1, 2)"""
-_NAMES = ", ".join(f"('{name}', '{language}')" for language, ns in langid.LABELS.items() for name in ns.split())
-_NONE = ", ".join(f"'{x}'" for x in langid.NO_LANGUAGE)
+_NAMES = ", ".join(f"('{name}', '{language}')" for language, ns in L.LABELS.items() for name in ns.split())
+_NONE = ", ".join(f"'{x}'" for x in L.NO_LANGUAGE)
 SQL = {
     "archive_project": """SELECT CASE WHEN l_returnflag = 'R' THEN 5 ELSE 6 END::INT AS n_fields, l_returnflag AS flag, count(*) AS n_lines, count(*) FILTER (l_returnflag <> 'R') AS n_kept,
 sum(CASE WHEN l_returnflag <> 'R' THEN l_suppkey END)::BIGINT AS sum_supplier FROM lineitem GROUP BY 1, 2""",

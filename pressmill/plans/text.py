@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.functions import html as H
 from pressmill.functions import text as T
 from pressmill.functions import urls as U
-from pressmill.llm import langid
 from pressmill.plans.archive import _host, _page
-from pressmill.plans.pages import _written
-from pressmill.shared import ship
 from pressmill.tables import table
 
 WORDS, INSIDE = ["terminal", "strike", "huelga", "grève", "streik"], ["забастовк", "罢工", "运河"]
@@ -50,40 +46,12 @@ def language_metadata_rule(spark, folder: str) -> DataFrame:
 
 
 def quality_gates(spark, folder: str) -> DataFrame:
-    """The gate of those on title and text alone that each document stops at, with the measures behind it; ``page_quality_gates`` has the whole cascade."""
+    """The gate of those on title and text alone that each document stops at, with the measures behind it."""
     rows = table(spark, folder, "documents")
     status = T.quality_status(F.col("url").isNotNull(), F.col("topic"), F.col("text"))
     return rows.select("doc_id", status.alias("status"), T.alphabetic(F.col("text")).alias("letters"), T.sentence_marks(F.col("text")).alias("marks"), T.paragraphs(F.col("text")).alias("paragraphs"))
 
 
-def page_quality_gates(spark, folder: str) -> DataFrame:
-    """The gate of the whole cascade each document's page stops at, with the model's five best languages and chunk agreement.
-
-    Pages are those written around the documents, as HTML without a content encoding; a redirect to the home
-    page is known where a source asked for an address with a path.
-    """
-    ship(spark)
-    documents = table(spark, folder, "documents")
-    with_path = lambda c: F.trim(F.replace(U.path(F.col(c)), F.lit("/"), F.lit(""))) != ""
-    asked = table(spark, folder, "evidence_sources").where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(with_path("url")).alias("asked"))
-    html = H.decoded(F.encode(_written(), "UTF-8"), F.lit(None).cast("string"))
-    read = documents.select("doc_id", "url", "text", html.alias("html")).withColumn("m", H.page_metadata("html"))
-    read = read.withColumn("read", T.quality_status(F.col("url").isNotNull(), F.col("m.title"), F.col("text")))
-    vote = langid.vote_udf(spark, langid.fit_from(documents, "doc_id", "text", "lang", furniture=frozenset()))  # votes read whole texts
-    # a page that stops at a gate on its title and text alone needs no votes
-    voted = read.withColumn("v", vote(F.when(F.col("read") == "usable", F.col("text"))))
-    disagrees = langid.label_language(F.col("m.lang")) != F.get("v.languages", F.lit(0))
-    pages = voted.select(
-        "doc_id", "read", F.lit("text/html").alias("content_type"), (F.col("html").isNotNull() | F.col("text").isNull()).alias("decoded"), (~with_path("url")).alias("home"), F.col("m.has_article").alias("has_article"), "v", disagrees.alias("disagrees"),
-    )
-    # only measures meet the sources, not texts
-    rows = pages.join(asked, "doc_id", "left")
-    status = T.page_status(
-        F.col("read"), F.col("content_type"), F.col("decoded"), F.col("asked") & F.col("home"), F.col("has_article"), F.col("v.score"), F.col("v.margin"), F.col("v.margin_per_letter"), F.col("v.agreement"), F.col("disagrees"),
-    )
-    return rows.select("doc_id", status.alias("status"), F.when(F.size("v.languages") > 0, F.col("v.languages")).alias("languages"), F.round("v.agreement", 6).alias("agreement"), F.round("v.margin_per_letter", 6).alias("margin_per_letter"))
-
-
 def hint_terms(spark, folder: str) -> DataFrame:
     """Titles that name a strike, a terminal or a canal, with the terms."""
     rows = table(spark, folder, "timeline_data").select("record_id", F.array_join(T.terms_in(F.col("title"), WORDS, INSIDE), ",").alias("terms"))
@@ -144,7 +112,7 @@ def copied_lines(spark, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        url_parts, url_identity_match, html_lang_title, language_metadata_rule, quality_gates, page_quality_gates, hint_terms, support_terms, excerpt_truncate, line_range_excerpt, text_guards, secret_scan,
+        url_parts, url_identity_match, html_lang_title, language_metadata_rule, quality_gates, hint_terms, support_terms, excerpt_truncate, line_range_excerpt, text_guards, secret_scan,
         claimed_time_rules, copied_lines,
     )
 }

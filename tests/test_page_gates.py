@@ -1,17 +1,12 @@
-"""The whole cascade of quality gates: every gate by itself and in its order, votes of chunks, saved bytes."""
+"""The gates of the cascade, every one by itself and in its order; saved bytes."""
 
 import gzip
 import math
-import random
 
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
-from llm.test_langid import sentence
 from pressmill.functions import html as H
 from pressmill.functions import text as T
-from pressmill.llm import langid as L
 
 GOOD = dict(fetched=True, content_type="text/html; charset=utf-8", decoded=True, title="A strike", home=False, text="The harbour was closed for a day. " * 30, article=True, score=-900.0, margin=80.0, per_letter=0.1, agreement=1.0, html=False)
 GATES = [
@@ -38,31 +33,7 @@ def test_each_gate_and_their_order(spark):
     assert got == [name for name, _ in GATES] + [name for name, _ in reversed(late)]
 
 
-@pytest.fixture(scope="module")
-def model():
-    r = random.Random(1)
-    return L.fit([(lang, " ".join(sentence(r, lang) for _ in range(4))) for lang in L.LANGUAGES for _ in range(40)])
-
-
-def test_votes(model):
-    r = random.Random(5)
-    english, german = (" ".join(sentence(r, lang) for _ in range(12)) for lang in ("english", "german"))
-    languages, score, margin, per_letter, agreement = model.vote(english)
-    assert languages[0] == "english" and len(languages) == 5 and math.isfinite(score) and margin > 0 and per_letter >= 0.02 and agreement == 1.0
-    assert model.vote(f"{english}\n{german}")[4] < 0.8
-    assert math.isnan(model.vote("ЖЖЖ 123")[1]) and model.vote(None)[0] == []
-
-
 def test_saved_bytes():
     page = "<p>página</p>".encode()
     assert H.decode(page, None) == "<p>página</p>" == H.decode(gzip.compress(page), "GZIP")
     assert H.decode(page, "gzip") is None and H.decode(gzip.compress(page)[:-9], "gzip") is None and H.decode(gzip.compress(b"x" * 100), "gzip", 99) is None
-
-
-def test_every_document_and_model_gates(spark, folder):
-    whole = entry.queries()["page_quality_gates"](spark, folder).toPandas().set_index("doc_id")
-    short = entry.queries()["quality_gates"](spark, folder).toPandas().set_index("doc_id").loc[whole.index]
-    assert len(whole) == len(short) and whole.index.is_unique
-    stopped = short["status"] != "usable"
-    assert (whole["status"][stopped] == short["status"][stopped]).all()
-    assert set(whole["status"]) & {"chunks disagree", "low margin", "html and model disagree"}
