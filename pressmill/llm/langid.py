@@ -28,23 +28,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pressmill.functions.labels import label_language
 from pressmill.shared import ship
 
 LANGUAGES = ("english", "spanish", "german", "french", "russian", "chinese")
-# Names and codes of the six languages; a region or script may follow after '-' or '_'.
-LABELS = {
-    "english": "en eng english inglés anglais englisch",
-    "spanish": "es spa spanish español espanol castellano castilian",
-    "german": "de deu ger german deutsch",
-    "french": "fr fra fre french français francais",
-    "russian": "ru rus russian русский",
-    "chinese": "zh zho chi cmn chinese mandarin 中文 汉语 简体中文",
-}
-# Labels that name no language.
-NO_LANGUAGE = ("", "-", "?", "mis", "mul", "n/a", "na", "none", "null", "und", "unk", "unknown", "xxx", "zxx")
 # Function words that start the fitting.
 SEEDS = {
     "english": "the of and to in for on with was is by from at that after before while over near which as its this",
@@ -59,16 +49,6 @@ _QUOTED = re.compile(r"«[^«»\r\n]{0,300}»|“[^“”\r\n]{0,300}”|„[^
 _FLOOR = -13.0
 
 
-def label_language(label: Column) -> Column:
-    """The language a label names, ``other`` for a name outside the six, null if it names none."""
-    names = {n: lang for lang, ns in LABELS.items() for n in ns.split()}
-    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    low = F.lower(F.trim(label))
-    known = F.coalesce(pairs[low], pairs[F.regexp_extract(low, r"^([\p{L}]{2,3})[-_]", 1)])
-    none = low.isin(*NO_LANGUAGE)
-    return F.when(low.isNull() | none, None).otherwise(F.coalesce(known, F.when(low.rlike(r"^\p{L}{2,}"), F.lit("other"))))
-
-
 def _words(segment: str) -> list[str]:
     return _TOKEN.findall(segment)
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.functions import html as H
+from pressmill.functions import labels
+from pressmill.functions import text as T
+from pressmill.functions import urls as U
 from pressmill.llm import langid, leaks, mixing, names, neardup, pieces
-from pressmill.shared import materialize
+from pressmill.plans.pages import _written
+from pressmill.shared import materialize, ship
 from pressmill.tables import table
 
 
@@ -51,7 +56,7 @@ def p3_labels(spark, folder: str) -> DataFrame:
     """What the labels of the three tables name, before any text is read."""
     out = None
     for name, column in _LABELLED:
-        rows = table(spark, folder, name).select(F.lit(name).alias("src_table"), langid.label_language(F.col(column)).alias("named"))
+        rows = table(spark, folder, name).select(F.lit(name).alias("src_table"), labels.label_language(F.col(column)).alias("named"))
         out = rows if out is None else out.unionAll(rows)
     return out.groupBy("src_table", "named").agg(F.count("*").alias("n_rows"))
 
@@ -63,6 +68,34 @@ def p3_segments(spark, folder: str) -> DataFrame:
     return langid.segment_languages(documents, "text", model, ["doc_id"]).withColumn("confidence", F.round("confidence", 4))
 
 
+def page_quality_gates(spark, folder: str) -> DataFrame:
+    """The gate of the whole cascade each document's page stops at, with the model's five best languages and chunk agreement.
+
+    Pages are those written around the documents, as HTML without a content encoding; a redirect to the home
+    page is known where a source asked for an address with a path.
+    """
+    ship(spark)
+    documents = table(spark, folder, "documents")
+    with_path = lambda c: F.trim(F.replace(U.path(F.col(c)), F.lit("/"), F.lit(""))) != ""
+    asked = table(spark, folder, "evidence_sources").where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(with_path("url")).alias("asked"))
+    html = H.decoded(F.encode(_written(), "UTF-8"), F.lit(None).cast("string"))
+    read = documents.select("doc_id", "url", "text", html.alias("html")).withColumn("m", H.page_metadata("html"))
+    read = read.withColumn("read", T.quality_status(F.col("url").isNotNull(), F.col("m.title"), F.col("text")))
+    vote = langid.vote_udf(spark, langid.fit_from(documents, "doc_id", "text", "lang", furniture=frozenset()))  # votes read whole texts
+    # a page that stops at a gate on its title and text alone needs no votes
+    voted = read.withColumn("v", vote(F.when(F.col("read") == "usable", F.col("text"))))
+    disagrees = labels.label_language(F.col("m.lang")) != F.get("v.languages", F.lit(0))
+    pages = voted.select(
+        "doc_id", "read", F.lit("text/html").alias("content_type"), (F.col("html").isNotNull() | F.col("text").isNull()).alias("decoded"), (~with_path("url")).alias("home"), F.col("m.has_article").alias("has_article"), "v", disagrees.alias("disagrees"),
+    )
+    # only measures meet the sources, not texts
+    rows = pages.join(asked, "doc_id", "left")
+    status = T.page_status(
+        F.col("read"), F.col("content_type"), F.col("decoded"), F.col("asked") & F.col("home"), F.col("has_article"), F.col("v.score"), F.col("v.margin"), F.col("v.margin_per_letter"), F.col("v.agreement"), F.col("disagrees"),
+    )
+    return rows.select("doc_id", status.alias("status"), F.when(F.size("v.languages") > 0, F.col("v.languages")).alias("languages"), F.round("v.agreement", 6).alias("agreement"), F.round("v.margin_per_letter", 6).alias("margin_per_letter"))
+
+
 def _recurring(spark, folder: str) -> DataFrame:
     """Texts of timeline events and imported articles that the likeness of words can compare."""
     titles = table(spark, folder, "timeline_data").select(F.lit("timeline_data").alias("src_table"), "id", F.concat(F.col("title"), F.lit(" "), F.coalesce("syndication", F.lit(""))).alias("text"))
@@ -128,6 +161,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_segments": p3_segments,
     "p3_labels": p3_labels,
+    "page_quality_gates": page_quality_gates,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -137,8 +171,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
 }
-_NAMES = ", ".join(f"('{name}', '{language}')" for language, ns in langid.LABELS.items() for name in ns.split())
-_NONE = ", ".join(f"'{x}'" for x in langid.NO_LANGUAGE)
+_NAMES = ", ".join(f"('{name}', '{language}')" for language, ns in labels.LABELS.items() for name in ns.split())
+_NONE = ", ".join(f"'{x}'" for x in labels.NO_LANGUAGE)
 SQL: dict[str, str] = {
     "p3_labels": f"""WITH names(label, language) AS (VALUES {_NAMES}), l AS ({' UNION ALL '.join(f"SELECT '{t}' AS src_table, lower(trim({c}, ' ')) AS low FROM {t}" for t, c in _LABELLED)}),
 k AS (SELECT src_table, low, coalesce(a.language, b.language) AS known FROM l LEFT JOIN names a ON a.label = low LEFT JOIN names b ON b.label = regexp_extract(low, '^([\\p{{L}}]{{2,3}})[-_]', 1))
