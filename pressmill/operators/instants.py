@@ -25,7 +25,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.functions.zones import exploded_intervals
+from pressmill.functions.zones import BLOCK_SECONDS, exploded_intervals, table_second
 
 # Month names of the six languages the engine meets, full and short forms.
 MONTHS = {
@@ -44,7 +44,7 @@ MONTHS = {
 }
 # Fixed offsets of zone abbreviations, in minutes. IST and other names with several meanings are left out.
 ABBREVIATIONS = {
-    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
+    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MET": 60, "MEST": 120, "MEZ": 60, "MESZ": 120,
     "EET": 120, "EEST": 180, "MSK": 180, "JST": 540, "KST": 540, "HKT": 480, "SGT": 480, "AWST": 480, "ACST": 570,
     "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "NST": -210, "NDT": -150, "AST": -240,
     "ADT": -180, "BRT": -180, "ART": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420,
@@ -74,8 +74,8 @@ _DATE_ONLY = (
     r"\d{4}年\d{1,2}月(\d{1,2}日)?|(\d{1,2}\.?\s+)?(de\s+)?\p{L}{3,}\.?\s+(\d{1,2},?\s+)?(de\s+)?\d{4})$"
 )
 _OFFSET = r"^(?:UTC|GMT)?\s*([+\-−])(\d{1,2})(?::?(\d{2}))?$"
-_REGION = r"^[A-Za-z]+(?:/[A-Za-z_+\-]+){1,2}$"
-_REGION_IN_TEXT = r"\b([A-Z][A-Za-z]+(?:/[A-Z][A-Za-z_\-]+){1,2})\b"
+_REGION = r"^[A-Za-z][A-Za-z0-9_+\-]*(?:/[A-Za-z0-9_+\-]+){0,2}$"
+_REGION_IN_TEXT = r"(?<![\w/])([A-Z][A-Za-z]+(?:/[A-Z](?:[A-Za-z0-9_+\-]*[A-Za-z0-9])?){1,2})"
 
 
 def _literal_map(pairs: dict) -> Column:
@@ -95,16 +95,15 @@ def normalise_instants(
     df: DataFrame,
     value: str | Column,
     hint: str | Column | None = None,
-    bare_digits_utc: bool = False,
+    bare_digits_utc: bool | Column = False,
     out: str = "instant",
-    first_year: int = 1990,
-    last_year: int = 2045,
 ) -> DataFrame:
     """Add struct ``out``: status, epoch_second, local_second, offset_second, zone_name, form.
 
     hint: free text that may name the region whose clock was used, for values that
-    state no zone themselves. bare_digits_utc: fourteen digits without zone are UTC.
-    Regions are looked up in the years given; outside them they are ``unknown_zone``.
+    state no zone themselves. bare_digits_utc: whether fourteen digits without zone are UTC,
+    for all rows or by a column.
+    Any name of the database is a region, in any year; what no zone's rules say is ``unknown_zone``.
     """
     if isinstance(value, str):
         value = F.col(value)
@@ -113,7 +112,7 @@ def normalise_instants(
     text = F.regexp_replace(value.cast("string"), r"^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$", "")
     form, fields = _form_and_fields(F.col("_t"))
     kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    step = df.select(kept, text.alias("_t"), (hint if hint is not None else F.lit(None).cast("string")).alias("_h"))
+    step = df.select(kept, text.alias("_t"), (hint if hint is not None else F.lit(None).cast("string")).alias("_h"), (F.lit(bare_digits_utc) if isinstance(bare_digits_utc, bool) else bare_digits_utc).alias("_b"))
     step = step.withColumn("_form", form).withColumn("_p", F.split(fields, r"\|"))
     part = lambda k: F.element_at(F.col("_p"), k)
     number = lambda k: F.when(part(k).rlike(r"^\d+$"), part(k).cast("int"))
@@ -127,7 +126,7 @@ def normalise_instants(
     half = F.upper(F.substring(part(7), 1, 1))
     zone = F.coalesce(part(8), F.lit(""))
     step = step.select(
-        "_row", "_t", "_h", F.col("_form").alias("form"), number(1).alias("y"), month.alias("m"), day.alias("d"),
+        "_row", "_t", "_h", "_b", F.col("_form").alias("form"), number(1).alias("y"), month.alias("m"), day.alias("d"),
         number(4).alias("h"), number(5).alias("mi"), F.coalesce(number(6), F.lit(0)).alias("s"), half.alias("half"), zone.alias("z"),
         (numeric & (a <= 12) & (b <= 12) & (a != b)).alias("swap"),
     )
@@ -155,20 +154,21 @@ def normalise_instants(
             * (hours.cast("int") * 3600 + F.coalesce(F.when(minutes != "", minutes.cast("int")), F.lit(0)) * 60),
         ),
     ).otherwise(_literal_map({k: v * 60 for k, v in ABBREVIATIONS.items()})[F.upper("z")])
-    if bare_digits_utc:
-        stated = F.when(F.col("form") == "digits", 0).otherwise(stated)
+    if bare_digits_utc is not False:
+        stated = F.when((F.col("form") == "digits") & F.col("_b"), 0).otherwise(stated)
     hinted = F.regexp_extract("_h", _REGION_IN_TEXT, 1)
     region = F.when(stated.isNotNull(), None).when(F.col("z").rlike(_REGION), F.col("z")).when((F.col("z") == "") & (hinted != ""), hinted)
     stamp = F.when(F.col("form") == "epoch", F.when(F.length("_t") == 13, F.substring("_t", 1, 10)).otherwise(F.col("_t")).cast("bigint"))
     step = step.select("_row", "_t", "form", "z", "swap", stamp.alias("stamp"), local.alias("local"), stated.alias("stated"), region.alias("region"))
     wanted = F.when(F.col("local").isNotNull(), F.col("region"))
-    step = step.withColumn("_zone", wanted).withColumn("_year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("local") / 86400).cast("int"))))
-    spans = F.broadcast(exploded_intervals(df.sparkSession, first_year, last_year))
-    step = step.join(spans, (F.col("_zone") == F.col("zone")) & (F.col("_year") == F.col("zone_year")), "left")
+    step = step.withColumn("_zone", wanted).withColumn("_at", F.when(F.col("_zone").isNotNull(), table_second(F.col("local"))))
+    block = F.floor(F.col("_at") / BLOCK_SECONDS).cast("int")
+    spans = F.broadcast(exploded_intervals(df.sparkSession))
+    step = step.withColumn("_block", block).join(spans, (F.col("_zone") == F.col("zone")) & (F.col("_block") == F.col("zone_block")), "left")
     # the as-of condition over the joined intervals: each that holds the local time
     holding = F.filter(
         F.arrays_zip("zone_from", "zone_until", "zone_offset"),
-        lambda x: (x["zone_from"] <= F.col("local")) & (F.col("local") < x["zone_until"]),
+        lambda x: (x["zone_from"] <= F.col("_at")) & (F.col("_at") < x["zone_until"]),
     )
     step = step.withColumn("_held", F.when(F.col("zone").isNotNull(), holding))
     held = F.size("_held")
@@ -216,20 +216,14 @@ def written_instants(spark, folder: str) -> DataFrame:
     """(src_table, record_id, written, usual_form, instant) of all written times of the three tables."""
     from pressmill.tables import table
 
-    claims = table(spark, folder, "timeline_data").select("record_id", F.col("publisher_publication_utc_claim").alias("written"), F.col("precision").alias("hint"))
-    claimed = table(spark, folder, "synthetic_investigation").select("record_id", F.col("claimed_timestamp.value").alias("written"), F.lit(None).cast("string").alias("hint"))
-    seen = table(spark, folder, "evidence_sources").select("record_id", F.col("seendate").alias("written"), F.lit(None).cast("string").alias("hint"))
-    sides = [
-        (claims, "timeline_data", USUAL_CLAIM, False),
-        (claimed, "synthetic_investigation", USUAL_CLAIM, False),
-        (seen, "evidence_sources", USUAL_SEEN, True),
-    ]
-    out = None
-    for df, name, usual, digits in sides:
-        side = normalise_instants(df.where(F.col("written").isNotNull()), "written", "hint", bare_digits_utc=digits)
-        side = side.select(F.lit(name).alias("src_table"), "record_id", "written", F.col("written").rlike(usual).alias("usual_form"), "instant")
-        out = side if out is None else out.unionAll(side)
-    return out
+    def side(name: str, written: Column, hint: Column, usual: str, digits: bool) -> DataFrame:
+        rows = table(spark, folder, name).select(F.lit(name).alias("src_table"), "record_id", written.alias("written"), hint.alias("hint"), written.rlike(usual).alias("usual_form"), F.lit(digits).alias("digits"))
+        return rows.where("written is not null")
+
+    none = F.lit(None).cast("string")
+    rows = side("timeline_data", F.col("publisher_publication_utc_claim"), F.col("precision"), USUAL_CLAIM, False)
+    rows = rows.unionAll(side("synthetic_investigation", F.col("claimed_timestamp.value"), none, USUAL_CLAIM, False)).unionAll(side("evidence_sources", F.col("seendate"), none, USUAL_SEEN, True))
+    return normalise_instants(rows, "written", "hint", bare_digits_utc=F.col("digits")).drop("hint", "digits")
 
 
 def p2_found(spark, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pressmill.operators import counters
-from pressmill.shared import shared_folder, ship
+from pressmill.shared import discard, materialize, shared_folder, ship
 
 
 def files_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -72,25 +72,44 @@ def running_baseline(bins: DataFrame, least_count: int = 10, floor: float = 2.0)
     return bins.groupBy("topic").applyInPandasWithState(step, out, "last bigint, ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def corrected_counts(stream: DataFrame, to_first, name: str = "counters") -> DataFrame:
-    """Run counters of deliveries over a stream: each trigger's deliveries are folded into a versioned table of first deliveries.
+def corrected_counts(stream: DataFrame, to_first, path: str | None = None) -> DataFrame:
+    """Counters of deliveries over a stream: (day, key, n, n_late) after all that has arrived.
 
-    ``to_first`` turns a batch of deliveries into (identity, tie, key, intake, day, late).
-    The folding takes the least intake per identity, so triggers may repeat or come in any
-    order; the state after a trigger is written beside the one before, never over it.
+    ``to_first`` turns a trigger's deliveries into first deliveries (``counters.first_deliveries``).
+    What a trigger changes is appended to two logs under ``path``: first deliveries, by source, and
+    the counter rows of the sources' next versions. A trigger reads the first deliveries of the sources
+    it touches and rewrites nothing; its folders bear its number, so a trigger that is run again
+    replaces what it wrote before. A flow started again with the same ``path`` goes on from there;
+    without one it has a folder of its own. A stream without deliveries gives an empty result.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    versions: dict[str, str] = {}
+    base = path or f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}"
+
+    def log(kind: str, schema: str, before: int | None = None) -> DataFrame:
+        """What the triggers before the one given have appended."""
+        jvm = spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{base}/{kind}/trigger=*")
+        found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        names = [str(f.getPath()) for f in found]
+        wanted = sorted(n for n in names if before is None or int(n.rsplit("=", 1)[1]) < before)
+        if not wanted:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", f"{base}/{kind}").parquet(*wanted).drop("trigger")
 
     def fold(batch: DataFrame, number: int) -> None:
-        rows = to_first(batch)
-        if "now" in versions:
-            rows = rows.unionByName(spark.read.parquet(versions["now"]))
-        first = rows.groupBy("identity").agg(F.min(F.struct("intake", "tie", "key", "day", "late")).alias("d")).select("identity", "d.*")
-        path = f"{base}/first-{number}"
-        first.write.mode("overwrite").parquet(path)
-        versions["now"] = path
-
-    stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return counters.totals(counters.merge_snapshots(counters.source_snapshots(spark.read.parquet(versions["now"]))))
+        first = materialize(to_first(batch), "trigger")
+        schema = first.schema.simpleString()[7:-1].replace(":", " ")
+        touched = [r.source for r in first.select("source").distinct().collect()]  # one row per source
+        known = log("first", schema, number).where(F.col("source").isin(touched))
+        # the log holds each improvement of an identity: the least is what stands
+        place = F.struct("intake", "tie", "day", "key", "late", "source")
+        stands = known.join(first.select("identity"), "identity", "left_semi").groupBy("identity").agg(F.min(place).alias("r")).select("identity", "r.*")
+        pairs = materialize(counters.pairs(stands, first, "right").where("changed"), "trigger-pairs")
+        pairs.select("identity", "new.*").write.mode("overwrite").partitionBy("source").parquet(f"{base}/first/trigger={number}")
+        counters.corrections(pairs, log("rows", counters.ROW_SCHEMA.format(key=dict(first.dtypes)["key"]), number)).write.mode("overwrite").parquet(f"{base}/rows/trigger={number}")
+        discard(pairs)
+        discard(first)
+
+    stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    key = dict(to_first(spark.createDataFrame([], stream.schema)).dtypes)["key"]
+    return counters.totals(log("rows", counters.ROW_SCHEMA.format(key=key)))

@@ -158,7 +158,7 @@ def test_stream_equals_batch_counters(spark, tmp_path):
     to_first = lambda df: C.first_deliveries(df, F.col("id"), F.col("intake"), F.col("rec"), F.col("ev"), F.col("pub"), 72)
     got = {(r.day, r.key): r.n for r in flows.corrected_counts(stream, to_first).collect()}
     whole = to_first(spark.createDataFrame([r for b in batches for r in b], schema))
-    assert got == {(r.day, r.key): r.n for r in C.totals(C.merge_snapshots(C.source_snapshots(whole))).collect()} == {(2, "q"): 1, (0, "p"): 1}
+    assert got == {(r.day, r.key): r.n for r in C.totals(C.begin(whole).counters).collect()} == {(2, "q"): 1, (0, "p"): 1}
 
 
 def test_stream_keeps_first_and_alerts(spark, tmp_path):

@@ -1,11 +1,13 @@
 """Written times: vectors of every form, defined results, and zone changes against the zone database itself."""
 
+import random
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from pressmill.functions.zones import zone_intervals
 from pressmill.operators.instants import iso_utc, normalise_instants
 
 CASES = [
@@ -37,6 +39,16 @@ CASES = [
     ("2026-03-29 02:29:02", "Europe/Madrid local time per imprint", "nonexistent"),
     ("2026-03-29T02:29:02 Nowhere/Land", None, "unknown_zone"),
     ("04/08/2025 02:08 UTC-07:00", None, "swappable"),
+    ("1985-07-01 10:00 Europe/Berlin", None, "1985-07-01T08:00:00Z"),
+    ("2050-07-01 10:00 Europe/Berlin", None, "2050-07-01T08:00:00Z"),
+    ("2177-12-01 10:00 Europe/Berlin", None, "2177-12-01T09:00:00Z"),
+    ("2499-03-29 02:30 Europe/Berlin", None, "nonexistent"),
+    ("1066-10-14 09:00 Europe/London", None, "1066-10-14T09:01:15Z"),
+    ("2025-07-01 10:00 Etc/UTC", None, "2025-07-01T10:00:00Z"),
+    ("2025-07-01 10:00 Etc/GMT+5", None, "2025-07-01T15:00:00Z"),
+    ("2025-07-01 10:00 Japan", None, "2025-07-01T01:00:00Z"),
+    ("2025-07-01 10:00", "clock of America/Argentina/Buenos_Aires.", "2025-07-01T13:00:00Z"),
+    ("2025-07-01 10:00 somewhere", None, "unknown_zone"),
     ("2025-06-31T25:10:00Z", None, "impossible"),
     ("2025-02-29T10:00:00Z", None, "impossible"),
     ("2024-02-29T10:00:00Z", None, "2024-02-29T10:00:00Z"),
@@ -78,6 +90,17 @@ def test_clashing_names_repeats_and_empty(spark):
     assert normalise_instants(rows.limit(0), "zone_year").count() == 0
 
 
+def test_intervals_are_those_of_the_database():
+    """Every zone's offset at random instants of three centuries."""
+    r = random.Random(4)
+    for name in sorted(zoneinfo.available_timezones()):
+        zone, spans = zoneinfo.ZoneInfo(name), zone_intervals(name)
+        for _ in range(40):
+            moment = datetime(1805, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=r.randrange(312 * 365 * 86400))
+            second = int(moment.timestamp())
+            assert next(o for a, b, o in spans if a <= second < b) == moment.astimezone(zone).utcoffset().total_seconds(), (name, moment)
+
+
 @pytest.mark.parametrize("name", ["America/New_York", "Europe/London", "Australia/Lord_Howe", "Asia/Kolkata", "Africa/Casablanca"])
 def test_local_times_against_the_database(spark, name):
     """Each half hour around the year's changes: as many instants show it on the clock as intervals hold it."""
