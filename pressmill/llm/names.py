@@ -1,15 +1,20 @@
 """Spellings of publishers typed by people, linked where they mean the same one.
 
-A spelling is read as an organisation (an anchor, usually a place, and title words) or a
-person (a surname as anchor, given names and initials): decorations and legal forms are
-dropped, reordered parts put back, abbreviated and misspelt title words resolved to the
-words they stand for, nicknames to their given names. Distinct anchors become weighted
-vectors of character n-grams; a distributed sparse join finds all pairs with a cosine at
-or above ``threshold`` through their rarest n-grams (a prefix whose remainder cannot reach
-the threshold), and ``top_n`` may keep each anchor's nearest partners only. Spellings of
-near anchors are compared field by field, and average linkage groups them: in each round
-every two clusters that are each other's nearest merge, which gives the same grouping as
-merging one pair at a time, without gathering any component in one place.
+What a name is made of is learned from the names themselves. A spelling is a bag of folded
+words. Words that can be left out (legal forms, bylines, editions) are those that the names
+do without: for most names that hold one, the same name without it is there as well. Every
+word's count over all names tells a slip of the pen from another word. The words that remain
+become a weighted vector of character n-grams, each word's for itself, so that their order does
+not matter; a distributed sparse join finds all pairs with a cosine at or above ``threshold``
+through their rarest n-grams (a prefix whose remainder cannot reach the threshold; frequent
+n-grams are salted), and ``top_n`` may keep each name's nearest partners only.
+
+A near pair is kept if its words can be laid side by side: equal, one slip apart, clipped or
+thinned out ("Wkly", "Journ."), an initial, several initials in one word ("WJ"), or, by the optional
+``hints``, a nickname. A word that finds no partner sets the pair apart. Average linkage groups the pairs:
+in each round every two clusters that are each other's nearest merge, which gives the same
+grouping as merging one pair at a time, without gathering any component in one place.
+Spellings with bare initials join a group of whole names only if it is the only one they fit.
 
 Defined results: null and blank names belong to no group; spellings that differ in case
 or spaces only are different strings of one group; an initial that several people of one
@@ -19,42 +24,16 @@ empty results; only the name columns are read.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmill.shared import discard, materialize, ship
 
-# Words that titles of newspapers and agencies are made of.
-TITLE_WORDS = (
-    "agency bulletin business cable chronicle city coastal commercial courier daily desk dispatch echo energy evening "
-    "examiner express financial gazette global guardian harbour herald independent inquirer "
-    "international journal ledger live mail maritime messenger metro mirror monitor morning national news newswire "
-    "north observer online port post press record regional register reporter review sentinel service shipping south "
-    "standard star sun sunday telegraph times trade transport tribune voice watch weekly wire world"
-).split()
-# Usual abbreviations of such words.
-SHORT_WORDS = {
-    "agency": "agcy", "bulletin": "bull bltn", "business": "bus biz", "cable": "cbl", "coastal": "cstl coast", "courier": "cour courr crr", "daily": "dly dy",
-    "desk": "dsk", "dispatch": "disp dsptch despatch", "energy": "en enrgy", "evening": "eve evng evg", "examiner": "exam exmr ex", "financial": "fin", "gazette": "gaz gzt",
-    "harbour": "harb hbr harbor hbour", "herald": "her hrld", "independent": "indep", "international": "intl int", "journal": "journ jour jnl jrnl", "maritime": "mar mari mrtm",
-    "monitor": "mon mntr", "morning": "morn", "national": "natl nat", "news": "nws", "observer": "obs obsvr", "post": "pst", "regional": "reg regl", "register": "regr",
-    "review": "rev", "sentinel": "sent sntl", "shipping": "shpg", "standard": "std", "telegraph": "tel telegr", "times": "tms", "transport": "transp trspt trans", "tribune": "trib trbn",
-    "weekly": "wkly wk",
-}
-_SHORT = {n: w for w, ns in SHORT_WORDS.items() for n in ns.split()}
-# Ends and beginnings that do not tell publishers apart.
-_LEGAL = {
-    "ltd", "limited", "gmbh", "sa", "ag", "plc", "inc", "llc", "llp", "corp", "co", "company", "bv", "nv", "spa", "srl", "sarl", "kg", "oy", "ab",
-    "media", "group", "publishing", "holdings", "holding", "publishers", "publications", "verlag",
-}
-_ROLES = re.compile(r"(?i)[\s,;–—-]*\b(freelance|correspondent|staff writer|reporter|contributor|editor|online|web edition|print edition|digital|website)\b[\s.)]*$")
-_BRACKETS = re.compile(r"[\(\[][^)\]]*[\)\]]")
-_LEAD = re.compile(r"(?i)^\s*(by|von|par|por|the)\s+(?=\S)")
 # Nicknames of given names, by given name.
 NICKNAMES = {
     "alexander": "alex alec al sandy sasha xander", "alexandra": "alexa sandra", "andrew": "andy drew", "anthony": "tony ant", "benjamin": "ben benny",
@@ -69,9 +48,22 @@ NICKNAMES = {
     "susan": "sue susie suzy", "tatiana": "tanya", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim", "ursula": "uschi ulla ursel", "victoria": "vicky tori vicki",
     "vladimir": "volodya vova", "walter": "walt wally", "wilhelm": "willi", "william": "bill billy will liam", "yekaterina": "katya", "zachary": "zach",
 }
-_GIVEN = {n: given for given, ns in NICKNAMES.items() for n in [*ns.split(), given]}
-_AMBIGUOUS = {n for n, c in Counter(n for g, ns in NICKNAMES.items() for n in ns.split()).items() if c > 1}
-_GIVENS_OF = {n: {g for g, ns in NICKNAMES.items() if n in ns.split()} for n in _AMBIGUOUS}
+
+
+def hints_of(nicknames: dict[str, str]) -> dict[str, frozenset[str]]:
+    """Given names that a word can stand for; a nickname of several stands for each."""
+    out: dict[str, set] = {}
+    for given, names in nicknames.items():
+        for n in [given, *names.split()]:
+            out.setdefault(n, set()).add(given)
+    return {n: frozenset(g) for n, g in out.items()}
+
+
+HINTS = hints_of(NICKNAMES)
+
+
+def _same_given(hints: dict[str, frozenset[str]], givens: frozenset[str]) -> list[tuple[str, frozenset[str]]]:
+    return [(n, gs) for n, gs in hints.items() if gs & givens]
 
 
 def edits(a: str, b: str, most: int = 2) -> int:
@@ -100,237 +92,248 @@ def fold(text: str) -> str:
     return "".join(c for c in kept if unicodedata.category(c) not in ("Mn", "Cf"))
 
 
-def _subsequence(short: str, word: str) -> bool:
-    at = iter(word)
-    return all(c in at for c in short)
-
-
-def title_word(token: str, dotted: bool = False) -> str | None:
-    """The title word that a folded token is, abbreviates or misspells."""
-    bare = token.replace("'", "").replace("’", "")
-    if bare in TITLE_WORDS or bare in _SHORT:
-        return _SHORT.get(bare, bare)
-    if len(bare) < 2:
-        return None
-    same = [w for w in TITLE_WORDS if w[0] == bare[0] and len(w) > len(bare)]
-    if len(bare) <= 5 or dotted:
-        # "obs" for observer, "regl" for regional, "dy" for daily; consonant skeletons and clipped words
-        clipped = [w for w in same if w.startswith(bare) and len(w) - len(bare) >= 2]
-        if clipped and (dotted or len(bare) >= 3):
-            return min(clipped, key=len) if len(clipped) == 1 or dotted else clipped[0]
-    thin = [w for w in same if len(bare) >= 2 and len(bare) <= len(w) - 1 and _subsequence(bare, w) and not set(bare[2 if bare[1] == w[1] else 1 : -1]) & set("aeiou")]
-    if len(bare) <= 6 and thin:
-        best = [w for w in thin if w[-1] == bare[-1]] or ([w for w in thin if len(bare) >= 3])
-        if best:
-            return min(best, key=lambda w: (len(w), w))
-    if len(bare) >= 4:
-        near = [w for w in TITLE_WORDS if len(w) >= 5 and edits(bare, w, 1) <= 1]
-        if near:
-            return near[0]
-    return None
-
-
-def read_name(name: str) -> dict:
-    """Fields of a spelling: kind, anchor, title (sorted words) or initials, given, middles, clipped."""
-    text = unicodedata.normalize("NFKC", name)
-    text = _BRACKETS.sub(" ", text)
-    while True:
-        shorter = _LEAD.sub("", _ROLES.sub("", text))
-        if shorter == text:
-            break
-        text = shorter
-    text = re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])", " ", text) if " " not in text.strip() else text
-    text = text.replace("-", " ").replace("_", " ").replace("–", " ").replace("—", " ")
-    # legal forms go before commas are read
-    words = text.split()
-    while len(words) > 1 and re.sub(r"[^a-z]", "", fold(words[-1])) in _LEGAL:
-        words.pop()
-    text = " ".join(words).strip(" ,;")
-    if re.search(r"(?i)\S\s+of\s+\S", text):
-        head, tail = re.split(r"(?i)\s+of\s+", text, maxsplit=1)
-        text = f"{tail} {head}"
-    if text.count(",") == 1:
-        head, tail = text.split(",")
-        text = f"{tail.strip()} {head.strip()}"
-        swapped = True
-    else:
-        swapped = False
-    raw = [w for w in re.split(r"[\s,;/]+", text) if re.search(r"\w", w)]
-    dotted = [w.endswith(".") for w in raw]
-    tokens = [re.sub(r"[^\w'’]", "", fold(w)) for w in raw]
-    letters = [t for t in tokens if t]
-    if not letters:
-        return {"kind": "", "anchor": fold(name).strip(), "title": "", "initials": "", "given": "", "middles": "", "clipped": False}
-    shouting = text.upper() == text
-    titles = [title_word(t, d) if len(t) > 1 else None for t, d in zip(tokens, dotted, strict=True)]
-    initials = ""
-    if not shouting and len(raw) > 1 and re.fullmatch(r"[A-Z]{2,4}", raw[-1]) and not any(titles[:-1]):
-        initials = raw[-1].lower()
-        titles[-1] = "?"
-    known = [w for w in titles if w and w != "?"]
-    people = any(t in _GIVEN or t in _AMBIGUOUS for t in tokens) or any(len(t) == 1 for t in tokens)
-    exact = any(t in TITLE_WORDS for t in tokens)
-    if initials or (known and (exact or not people) and (len(known) > 1 or exact)):
-        rest = [(t, d) for t, d, w in zip(tokens, dotted, titles, strict=True) if not w]
-        if not rest:  # every word looks like a title word: the first is the anchor
-            rest, known = [(tokens[0], dotted[0])], [w for w in titles[1:] if w]
-        anchor = "".join(t for t, _ in rest)
-        return {"kind": "o", "anchor": anchor, "title": " ".join(sorted(known)), "initials": initials, "given": "", "middles": "", "clipped": any(d for _, d in rest)}
-    if len(tokens) > 1 and not swapped and (tokens[-1] in _GIVEN or len(tokens[-1]) == 1) and tokens[0] not in _GIVEN and len(tokens[0]) > 1:
-        tokens = [*tokens[1:], tokens[0]]
-    anchor, before = tokens[-1], tokens[:-1]
-    given = before[0] if before else ""
-    return {
-        "kind": "p", "anchor": anchor, "title": "", "initials": "", "given": given,
-        "middles": " ".join(t[0] for t in before[1:]), "clipped": False,
-    }
-
-
-def _anchor_likeness(a: dict, b: dict) -> float:
-    x, y = a["anchor"], b["anchor"]
-    if x == y:
-        return 1.0
-    for short, long in ((x, y), (y, x)):
-        if (a if short is x else b)["clipped"] and len(short) >= 4 and len(long) > len(short):
-            apart = min(edits(short, long[: len(short) + k], 1) for k in (-1, 0, 1))
-            if apart < 2:
-                return 0.95 - 0.1 * apart
-    apart = edits(x, y, 2)
-    if min(len(x), len(y)) < 5:
-        return 0.0
-    return (1.0, 0.9, 0.7 if min(len(x), len(y)) >= 7 else 0.0, 0.0)[apart]
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*[.'’]?")
+_CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 
 
-def _givens(token: str) -> set[str]:
-    """Given names that a token can stand for; a token of no known name stands for the known ones one slip away."""
-    if token in _GIVENS_OF:
-        return _GIVENS_OF[token]
-    if token in _GIVEN:
-        return {_GIVEN[token]}
-    if len(token) < 5:
-        return set()
-    return {g for n, g in _GIVEN.items() if len(n) >= 5 and edits(token, n, 1) <= 1}
+def words_of(name: str) -> list[tuple[str, bool, bool]]:
+    """(folded word, marked as clipped by a dot or apostrophe, capitals only among other words) of a spelling, in order."""
+    text = unicodedata.normalize("NFKC", name).strip()
+    shouting = text.upper() == text
+    if " " not in text:
+        text = _CAMEL.sub(" ", text)
+    out = []
+    for raw in _WORD.findall(text):
+        word = "".join(c for c in fold(raw) if c.isalnum())
+        if word:
+            capitals = not shouting and 2 <= len(word) <= 4 and raw.isalpha() and raw.isupper()
+            out.append((word, not raw[-1].isalnum() or "'" in raw or "’" in raw, capitals))
+    return out
+
+
+def _shortens(short: str, word: str, marked: bool) -> float:
+    """How well a shorter word can stand for a longer one: clipped after its beginning, or thinned out."""
+    if len(short) < 2 or len(short) >= len(word) or short[0] != word[0]:
+        return 0.0
+    if word.startswith(short):
+        return 0.95 if marked else 0.9 if len(short) >= 3 and len(word) - len(short) >= 2 else 0.0
+    at = iter(word)
+    if len(short) > 6 or not all(c in at for c in short):
+        return 0.0
+    # thinning takes vowels out: what is left between the ends has hardly any
+    inner = short[2 if short[1] == word[1] else 1 : -1]
+    return 0.85 if not set(inner) & set("aeiou") and (marked or len(short) >= 3 or short[-1] == word[-1]) else 0.0
 
 
-def _given_likeness(a: dict, b: dict) -> float:
-    x, y = a["given"], b["given"]
-    if not x or not y:
-        return 0.0 if x != y else 1.0
-    if len(x) == 1 or len(y) == 1:
-        if len(x) == len(y):
-            return 0.9 if x == y else 0.0
-        short, long = (x, y) if len(x) == 1 else (y, x)
-        return 0.8 if short in {long[0]} | {g[0] for g in _givens(long)} else 0.0
+def word_likeness(a: tuple, b: tuple, hints: dict[str, frozenset[str]]) -> float:
+    """From 0 to 1 of two words (text, marked, capitals, count); initials are below 0.85."""
+    x, y = a[0], b[0]
     if x == y:
         return 1.0
-    known, others = _givens(x), _givens(y)
-    if known & others:
+    known, others = hints.get(x), hints.get(y)
+    if known and others and known & others:
         return 0.95
-    if known and others:
+    if (known is None) != (others is None):
+        token, givens = (y, known) if known else (x, others)
+        if len(token) >= 5 and any(edits(token, n, 1) == 1 for n, gs in _same_given(hints, givens) if len(n) >= 5):
+            return 0.85
+    if len(x) == 1 or len(y) == 1:
+        short, long = (x, y) if len(x) == 1 else (y, x)
+        return 0.8 if len(long) > 1 and short in {long[0]} | {g[0] for g in hints.get(long, ())} else 0.0
+    short, long = (a, b) if len(x) < len(y) else (b, a)
+    best = _shortens(short[0], long[0], short[1])
+    # both usual: two words; a slip is much rarer than the word it was meant to be
+    rare, usual = sorted((a[3], b[3]))
+    if rare <= 3 or rare * 10 <= usual:
+        size = min(len(x), len(y))
+        if max(len(x), len(y)) >= 4 and (size >= 6 or x[0] == y[0]):
+            apart = edits(x, y, 2)
+            best = max(best, 0.9 if apart == 1 else 0.75 if apart == 2 and size >= 9 else 0.0)
+    return best
+
+
+def _places(words: list[tuple]) -> list[int]:
+    """Place of each word among those beside the rarest one, which itself has none."""
+    anchor = min((k for k, w in enumerate(words) if len(w[0]) > 1), key=lambda k: (words[k][3], -len(words[k][0]), k), default=-1)
+    at = iter(range(len(words)))
+    return [-1 if k == anchor else next(at) for k in range(len(words))]
+
+
+def likeness(a: list[tuple], b: list[tuple], hints: dict[str, frozenset[str]] = HINTS) -> float:
+    """From 0 (different publishers) to 1 of two names' words (text, marked, capitals, count).
+
+    Words are laid side by side, best pairs first; each must find its partner, but for single
+    letters beyond two pairs (middle initials) on one side only.
+    """
+    if not a or not b:
         return 0.0
-    near = min(len(x), len(y))
-    return (1.0, 0.9 if near >= 3 else 0.0, 0.7 if near >= 6 else 0.0, 0.0)[edits(x, y, 2)]
-
-
-def likeness(a: dict, b: dict) -> float:
-    """From 0 (different publishers) to 1 of two spellings read by ``read_name``."""
-    if a["kind"] != b["kind"] or not a["kind"]:
+    if "".join(w[0] for w in a) == "".join(w[0] for w in b):
+        return 1.0
+    place, other = _places(a), _places(b)
+    scored = []
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            # an initial stands for the given name only where it comes first, and for an initial in its own place
+            single = (len(x[0]) == 1, len(y[0]) == 1)
+            if place[i] == other[j] if all(single) else (place[i] == 0 if single[0] else other[j] == 0) if any(single) else True:
+                s = word_likeness(x, y, hints)
+                if s:
+                    scored.append((s, i, j))
+    scored.sort(key=lambda t: (-t[0], t[1], t[2]))
+    left, right, pairs = set(range(len(a))), set(range(len(b))), []
+    for s, i, j in scored:
+        if i in left and j in right:
+            left.discard(i)
+            right.discard(j)
+            pairs.append((s, a[i], b[j]))
+    for mine, others, words, rest in ((left, right, a, b), (right, left, b, a)):
+        if len(mine) == 1 and len(others) > 1 and words[k := next(iter(mine))][2] and sorted(words[k][0]) == sorted(rest[j][0][0] for j in others):
+            pairs.append((0.9, words[k], max((rest[j] for j in others), key=lambda w: -w[3])))
+            mine.clear()
+            others.clear()
+    loose = [a[i] for i in left] + [b[j] for j in right]
+    if loose and ((left and right) or len(pairs) < 2 or any(len(w[0]) > 1 for w in loose)):
         return 0.0
-    anchor = _anchor_likeness(a, b)
-    if not anchor:
+    weight = [1 / math.log(2 + min(x[3], y[3])) for _, x, y in pairs]
+    # the words that tell most are no mere initials
+    if pairs[max(range(len(pairs)), key=lambda k: weight[k] if pairs[k][0] >= 0.85 else -1)][0] < 0.85:
         return 0.0
-    if a["kind"] == "p":
-        given = _given_likeness(a, b)
-        m, n = a["middles"].split(), b["middles"].split()
-        if m and n and m[: len(n)] != n[: len(m)]:
-            return 0.0
-        return anchor * given
-    if a["initials"] or b["initials"]:
-        short, long = (a, b) if a["initials"] else (b, a)
-        if long["initials"]:
-            return anchor if a["initials"] == b["initials"] else 0.0
-        return anchor * 0.9 if sorted(short["initials"]) == sorted(w[0] for w in long["title"].split()) else 0.0
-    return anchor if a["title"] == b["title"] else 0.0
+    return sum(w * s for w, (s, _, _) in zip(weight, pairs, strict=True)) / sum(weight)
 
 
-def anchor_grams(anchor: str) -> Counter:
-    """Counts of the padded bigrams and trigrams of an anchor."""
-    padded = f"^{anchor}$"
-    return Counter(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+def _bare(words: list[tuple]) -> bool:
+    """Whether a name has nothing but initials beside its rarest word."""
+    others = [w for w, place in zip(words, _places(words), strict=True) if place >= 0]
+    return bool(others) and all(len(w[0]) == 1 or w[2] for w in others)
 
 
-FIELDS = "kind string, anchor string, title string, initials string, given string, middles string, clipped boolean"
+def _parsed(text: str) -> list[tuple]:
+    return [(t, m == "1", c == "1", int(n)) for t, m, c, n in (w.split(":") for w in text.split())]
 
 
 def read_names(df: DataFrame, column: str) -> DataFrame:
-    """(name, fields) of the distinct non-blank strings of a column."""
+    """(name, words) of the distinct non-blank strings of a column."""
     ship(df.sparkSession)
 
-    @F.pandas_udf(f"struct<{FIELDS.replace(' string', ':string').replace(' boolean', ':boolean')}>")
-    def read(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_name(n) for n in names], columns=[f.split()[0] for f in FIELDS.split(", ")])
+    @F.pandas_udf("array<struct<text:string,marked:boolean,capitals:boolean>>")
+    def read(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: [dict(zip(("text", "marked", "capitals"), w, strict=True)) for w in words_of(n)])
 
     names = df.select(F.col(column).alias("name")).where("trim(name) <> ''").distinct()
     # kept above the aggregate: a filter on its result would else be pushed below and read every row's name
-    return names.select("name", read.asNondeterministic()("name").alias("f")).where("f.kind <> ''")
-
-
-def near_anchors(names: DataFrame, threshold: float = 0.25, top_n: int | None = None) -> DataFrame:
-    """(kind, anchor_a, anchor_b, cosine) with anchor_a < anchor_b of all anchors near each other, each also with itself."""
-    anchors = names.select("f.kind", "f.anchor").distinct()
-    total = anchors.count()
-    grams_of = F.pandas_udf(lambda s: s.map(lambda a: list(anchor_grams(a).items())), "array<struct<gram:string,n:int>>")
-    grams = anchors.withColumn("g", F.explode(grams_of("anchor"))).select("kind", "anchor", F.col("g.gram").alias("gram"), F.col("g.n").alias("n"))
-    weights = grams.groupBy("kind", "gram").agg((F.log(1 + F.lit(float(total)) / F.count("*"))).alias("idf"))
-    weighted = grams.join(weights, ["kind", "gram"]).select("kind", "anchor", F.struct(F.col("idf"), F.col("gram"), (F.col("n") * F.col("idf")).alias("w")).alias("g"))
-    vectors = weighted.groupBy("kind", "anchor").agg(F.array_sort(F.collect_list("g")).alias("g"))  # as long as the anchor
+    return names.select("name", read.asNondeterministic()("name").alias("words")).where("size(words) > 0")
+
+
+def _phrases(texts: str) -> Column:
+    """Phrases that a name may do without, with the bag of words that is left and their places: one or two words in a row, the first with the last ones."""
+    size = F.size(texts)
+    kept = lambda at, k: F.array_join(F.array_sort(F.concat(F.slice(texts, F.lit(1), at - 1), F.slice(texts, at + k, size))), " ")
+
+    def spot(k: int):
+        return lambda at: F.struct(F.array_join(F.slice(texts, at, k), " ").alias("phrase"), kept(at, k).alias("rest"), F.sequence(at, at + k - 1).alias("spots"))
+
+    runs = []
+    for k in (1, 2):
+        runs.append(F.when(size > k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - k + 1)), spot(k))).otherwise(F.array().cast(_PHRASE)))
+        tail = F.slice(texts, F.greatest(F.lit(1), size - k + 1), k)
+        frame = F.struct(
+            F.concat_ws(" … ", F.get(texts, F.lit(0)), F.array_join(tail, " ")).alias("phrase"), F.array_join(F.array_sort(F.slice(texts, F.lit(2), F.greatest(F.lit(0), size - k - 1))), " ").alias("rest"),
+            F.concat(F.array(F.lit(1)), F.sequence(F.greatest(F.lit(1), size - k + 1), size)).alias("spots"),
+        )
+        runs.append(F.when(size > k + 1, F.array(frame)).otherwise(F.array().cast(_PHRASE)))
+    return F.concat(*runs)
+
+
+_PHRASE = "array<struct<phrase:string,rest:string,spots:array<int>>>"
+
+
+def dispensable(names: DataFrame, share: float = 0.15, least: int = 3) -> DataFrame:
+    """(phrase, n, n_without): phrases of the names (name, texts) that a name does without often enough.
+
+    A phrase of ``n`` names is one if at least ``share`` of them, and ``least``, stand without it as well.
+    """
+    offered = names.select("name", F.explode(_phrases("texts")).alias("p")).select("name", "p.phrase", "p.rest").where("rest <> '' and length(phrase) > 1")
+    bags = names.select(F.array_join(F.array_sort("texts"), " ").alias("bag")).distinct()
+    sums = offered.join(bags, F.col("rest") == F.col("bag"), "left").groupBy("phrase").agg(F.count("*").alias("n"), F.count("bag").alias("n_without"))
+    return sums.where((F.col("n_without") >= least) & (F.col("n_without") >= share * F.col("n")))
+
+
+def name_cores(names: DataFrame) -> DataFrame:
+    """(name, core): of each name the words that it can't do without, each as text:marked:capitals:count over all names."""
+    listed = names.withColumn("texts", F.transform("words", lambda w: w["text"]))
+    phrases = dispensable(listed).select("phrase")
+    spots = listed.select("name", F.explode(_phrases("texts")).alias("p")).select("name", "p.phrase", "p.spots").join(phrases, "phrase")
+    dropped = spots.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("dropped"))  # as long as the name
+    kept = F.filter("words", lambda w, i: ~F.array_contains("dropped", i + 1))
+    words = listed.join(dropped, "name", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    words = words.select("name", F.when(F.size(kept) > 0, kept).otherwise(F.col("words")).alias("words"))
+    tokens = words.select("name", F.posexplode("words").alias("at", "w"))
+    counts = tokens.select("name", F.col("w.text").alias("text")).distinct().groupBy("text").agg(F.count("*").alias("n"))
+    flag = lambda c: F.col(f"w.{c}").cast("int").cast("string")
+    spelled = tokens.withColumn("text", F.col("w.text")).join(counts, "text").select("name", "at", F.concat_ws(":", "text", flag("marked"), flag("capitals"), F.col("n").cast("string")).alias("word"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "word")))
+    return spelled.groupBy("name").agg(F.array_join(F.transform(listed, lambda x: x["word"]), " ").alias("core"))
+
+
+def _grams(core: str) -> Column:
+    """Padded bigrams and trigrams of each word of a core."""
+
+    def of(word: Column) -> Column:
+        text = F.concat(F.lit("^"), F.substring_index(word, ":", 1), F.lit("$"))
+        size = F.char_length(text)
+        cut = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+        return F.concat(cut(2), cut(3))
+
+    return F.flatten(F.transform(F.split(core, " "), of))
+
+
+def near_names(cores: DataFrame, threshold: float = 0.2, top_n: int | None = None, salt_rows: int = 2000) -> DataFrame:
+    """(a, b, cosine) with a < b of all pairs of the distinct cores whose n-gram vectors have a cosine at or above the threshold.
+
+    N-grams of one core only are left out, as they can meet no other and would only make slips of the pen
+    look strange. An n-gram of more than ``salt_rows`` cores is spread over as many more tasks.
+    """
+    grams = cores.select("core", F.explode(_grams("core")).alias("gram")).groupBy("core", "gram").agg(F.count("*").alias("k"))
+    grams = materialize(grams, "name-grams")
+    total = float(cores.count())
+    idf = F.log(1 + F.lit(total) / F.col("n"))
+    weights = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", "n", (idf * idf).alias("idf"))
+    weighted = grams.join(weights, "gram").select("core", F.struct("idf", "gram", (F.col("k") * F.col("idf")).alias("w"), "n").alias("g"))
+    vectors = weighted.groupBy("core").agg(F.array_sort(F.collect_list("g")).alias("g"))  # as long as the name
     norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    unit = vectors.withColumn("norm", norm).select("kind", "anchor", F.transform("g", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
-    unit = materialize(unit, "anchor-vectors")
-    # rarest last in v: a gram belongs to the prefix while the more frequent ones before it cannot reach the threshold alone
-    position = F.posexplode("v").alias("at", "e")
+    unit = vectors.withColumn("norm", norm).select("core", F.transform("g", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.col("norm")).alias("w"), x["n"].alias("n"))).alias("v"))
+    unit = materialize(unit, "name-vectors")
+    discard(grams)
+    # rarest last in v: a gram belongs to the prefix while the more frequent ones up to it could reach the threshold alone
     before = F.aggregate(F.slice("v", F.lit(1), F.col("at") + 1), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    prefix = unit.select("kind", "anchor", "v", position).withColumn("mass", before).where(F.col("mass") >= threshold * threshold - 1e-9).select("kind", "anchor", F.col("e.gram").alias("gram"))
-    a, b = prefix.withColumnRenamed("anchor", "anchor_a"), prefix.withColumnRenamed("anchor", "anchor_b")
-    pairs = a.join(b, ["kind", "gram"]).where("anchor_a < anchor_b").select("kind", "anchor_a", "anchor_b").distinct()
-    va = unit.select("kind", F.col("anchor").alias("anchor_a"), F.map_from_entries("v").alias("va"))
-    vb = unit.select("kind", F.col("anchor").alias("anchor_b"), F.col("v").alias("vb"))
-    both = pairs.join(va, ["kind", "anchor_a"]).join(vb, ["kind", "anchor_b"])
+    prefix = unit.select("core", "v", F.posexplode("v").alias("at", "e")).where(before >= threshold * threshold - 1e-9).select("core", F.col("e.gram").alias("gram"), (1 + F.floor(F.col("e.n") / salt_rows)).cast("int").alias("salts"))
+    left = prefix.select(F.col("core").alias("a"), "gram", F.pmod(F.xxhash64("core"), F.col("salts")).cast("int").alias("salt"))
+    right = prefix.select(F.col("core").alias("b"), "gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = left.join(right, ["gram", "salt"]).where("a < b").select("a", "b").distinct()
+    va = unit.select(F.col("core").alias("a"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"]))).alias("va"))
+    both = pairs.join(va, "a").join(unit.select(F.col("core").alias("b"), F.col("v").alias("vb")), "b")
     cosine = F.aggregate("vb", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at("va", x["gram"]), F.lit(0.0)))
-    near = both.select("kind", "anchor_a", "anchor_b", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+    near = both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
     if top_n is not None:
-        sides = near.select("kind", F.col("anchor_a").alias("x"), "anchor_a", "anchor_b", "cosine").unionAll(near.select("kind", F.col("anchor_b").alias("x"), "anchor_a", "anchor_b", "cosine"))
-        best = Window.partitionBy("kind", "x").orderBy(F.desc("cosine"), "anchor_a", "anchor_b")
-        near = sides.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top_n).select("kind", "anchor_a", "anchor_b", "cosine").distinct()
-    return near.unionAll(anchors.select("kind", F.col("anchor").alias("anchor_a"), F.col("anchor").alias("anchor_b"), F.lit(1.0).alias("cosine")))
-
-
-def name_links(names: DataFrame, threshold: float = 0.25, top_n: int | None = None) -> DataFrame:
-    """(a, b, likeness) with a < b of spellings that may mean one publisher."""
-    near = near_anchors(names, threshold, top_n)
-    left = names.select(F.col("name").alias("a"), F.col("f").alias("fa"))
-    right = names.select(F.col("name").alias("b"), F.col("f").alias("fb"))
-    pairs = near.join(left, (F.col("fa.kind") == F.col("kind")) & (F.col("fa.anchor") == F.col("anchor_a")))
-    pairs = pairs.join(right, (F.col("fb.kind") == F.col("kind")) & (F.col("fb.anchor") == F.col("anchor_b")))
-    pairs = pairs.where("a <> b and (anchor_a <> anchor_b or a < b)")
-    compare = F.pandas_udf(lambda x, y: pd.Series([likeness(p, q) for p, q in zip(x.to_dict("records"), y.to_dict("records"), strict=True)], dtype="float64"), "double")
-    links = pairs.withColumn("likeness", compare("fa", "fb")).where("likeness > 0")
-    links = materialize(links.select("a", "b", "fa", "fb", "likeness"), "name-links")
-
-    # a name with bare initials whose partners share no given name or title is linked to none of them
-    def bare(f: str):
-        return (F.length(f"{f}.initials") > 0) | ((F.col(f"{f}.kind") == "p") & (F.length(f"{f}.given") == 1))
-
-    sides = links.where(bare("fa") & ~bare("fb")).select(F.col("a").alias("x"), F.col("b").alias("partner"), F.col("fb").alias("f"))
-    sides = sides.unionAll(links.where(bare("fb") & ~bare("fa")).select(F.col("b").alias("x"), F.col("a").alias("partner"), F.col("fa").alias("f")))
-    whole = F.pandas_udf(lambda s: s.map(lambda g: sorted(_givens(g) or {g})), "array<string>")
-    meanings = F.when(F.col("f.kind") == "p", whole("f.given")).otherwise(F.array("f.title"))
-    support = sides.select("x", F.explode(meanings).alias("m")).groupBy("x", "m").agg(F.count("*").alias("n")).groupBy("x").agg(F.max("n").alias("most"))
-    unclear = support.join(sides.groupBy("x").agg(F.count("*").alias("partners")), "x").where("most < partners").select("x")
-    out = links.select("a", "b", "likeness", bare("fa").alias("ba"), bare("fb").alias("bb"))
-    for side in ("a", "b"):
-        out = out.join(unclear.select(F.col("x").alias(side), F.lit(True).alias(f"u{side}")), side, "left")
-    return out.where("not (coalesce(ua, false) and not bb) and not (coalesce(ub, false) and not ba)").select("a", "b", "likeness")
+        sides = near.select(F.col("a").alias("x"), "a", "b", "cosine").unionAll(near.select(F.col("b").alias("x"), "a", "b", "cosine"))
+        best = Window.partitionBy("x").orderBy(F.desc("cosine"), "a", "b")
+        near = sides.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top_n).select("a", "b", "cosine").distinct()
+    return near
+
+
+def name_links(cores: DataFrame, threshold: float = 0.2, top_n: int | None = None, hints: dict[str, frozenset[str]] | None = None) -> DataFrame:
+    """(a, b, likeness, ba, bb) with a < b of cores that may mean one publisher; ba, bb: which of them have bare initials."""
+    hints = HINTS if hints is None else hints
+
+    @F.pandas_udf("struct<likeness:double,ba:boolean,bb:boolean>")
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        read = {t: _parsed(t) for t in {*a, *b}}
+        bare = {t: _bare(w) for t, w in read.items()}
+        return pd.DataFrame({"likeness": [float(likeness(read[x], read[y], hints)) for x, y in zip(a, b, strict=True)], "ba": a.map(bare).astype(bool), "bb": b.map(bare).astype(bool)})
+
+    # made once for each pair: a filter on its result would else have it made again
+    near = near_names(cores, threshold, top_n).select("a", "b", compare.asNondeterministic()("a", "b").alias("l"))
+    return materialize(near.select("a", "b", "l.*").where("likeness > 0"), "name-links")
 
 
 def average_linkage(links: DataFrame, least: float = 0.4) -> DataFrame:
@@ -368,10 +371,33 @@ def average_linkage(links: DataFrame, least: float = 0.4) -> DataFrame:
         edges, members = new_edges, new_members
 
 
-def publisher_groups(df: DataFrame, column: str, threshold: float = 0.25, least: float = 0.4) -> DataFrame:
-    """(name, group_id) of all spellings that share their publisher with another one."""
+def core_groups(links: DataFrame, least: float = 0.3) -> DataFrame:
+    """(core, group_id) of linked cores: whole names by linkage, those with bare initials with the only group they fit."""
+    # whole names and bare ones never meet in these links, so one linkage does for both
+    linked = average_linkage(links.where("ba = bb").select("a", "b", "likeness"), least).select(F.col("name").alias("core"), "group_id")
+    cross = links.where("ba and not bb").select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.where("bb and not ba").select(F.col("b").alias("x"), F.col("a").alias("y")))
+    side = lambda c: linked.select(F.col("core").alias(c), F.col("group_id").alias(f"g{c}"))
+    met = cross.join(side("x"), "x", "left").join(side("y"), "y", "left").select("x", F.coalesce("gx", "x").alias("gx"), F.coalesce("gy", "y").alias("gy"))
+    only = met.groupBy("gx").agg(F.min("gy").alias("low"), F.max("gy").alias("high")).where("low = high").select("gx", F.col("low").alias("gy"))
+    only = materialize(only, "bare-groups")
+    loose = met.select("x", "gx").distinct().join(only, "gx").select(F.col("x").alias("core"), F.col("gy").alias("group_id"))
+    joined = linked.join(only, linked["group_id"] == only["gx"], "left").select("core", F.coalesce("gy", "group_id").alias("group_id"))
+    # a single whole name that bare ones join has no group by linkage
+    return joined.unionAll(loose).unionAll(only.select(F.col("gy").alias("core"), F.col("gy").alias("group_id"))).distinct()
+
+
+def publisher_groups(df: DataFrame, column: str, threshold: float = 0.2, least: float = 0.3, hints: dict[str, frozenset[str]] | None = None) -> DataFrame:
+    """(name, group_id) of all spellings that share their publisher with another one; the least spelling names the group.
+
+    Names of one core are one node, however many they are.
+    """
     names = materialize(read_names(df, column), "names")
-    return average_linkage(name_links(names, threshold), least)
+    cores = materialize(name_cores(names), "name-cores")
+    discard(names)
+    groups = core_groups(name_links(cores.select("core").distinct(), threshold, None, hints), least)
+    rows = cores.join(groups, "core", "left").select("name", F.coalesce("group_id", "core").alias("g"))
+    several = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("name").alias("group_id")).where("n > 1")
+    return rows.join(several, "g").select("name", "group_id")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
