@@ -18,8 +18,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HIDDEN = {"script", "style", "noscript"}
-_BLOCKS = {"p", "article", "section", "li", "blockquote", "h1", "h2", "h3", "td", "div"}
-_DATE_NAMES = {"article:published_time", "article:modified_time", "date", "pubdate", "dc.date", "datepublished", "datemodified", "parsely-pub-date"}
+_BLOCKS = {"p", "article", "section", "li", "blockquote", "h1", "h2", "h3", "td", "div", "header", "footer", "nav", "aside", "table", "ul", "ol"}
+# Metas that state a page's dates.
+_DATE_NAMES = {"article:published_time", "article:modified_time", "datepublished", "datemodified", "pubdate", "publishdate"}
 _ARTICLE_TYPES = {"Article", "NewsArticle", "ReportageNewsArticle", "AnalysisNewsArticle", "BlogPosting", "LiveBlogPosting"}
 
 
@@ -28,7 +29,7 @@ class PageReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden, self.in_title, self.in_data, self.in_article = 0, False, False, 0
+        self.hidden, self.in_title, self.in_data, self.in_article, self.in_paragraph = 0, False, False, 0, False
         self.parts: list[str] = []
         self.body: list[str] = []
         self.title, self.data = "", ""
@@ -60,12 +61,16 @@ class PageReader(HTMLParser):
                 self.locale = content
             if name == "og:type" and content.lower() == "article":
                 self.has_article = True
-        if tag == "p" and not self.hidden:
-            self.body.append("")
+        if tag in _BLOCKS:  # a paragraph ends where another block begins
+            self.in_paragraph = tag == "p" and not self.hidden
+            if self.in_paragraph:
+                self.body.append("")
 
     def handle_endtag(self, tag):
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        if tag in _BLOCKS:
+            self.in_paragraph = False
         if tag == "title":
             self.in_title = False
         elif tag == "article":
@@ -83,7 +88,7 @@ class PageReader(HTMLParser):
             part = " ".join(data.split())
             if part:
                 self.parts.append(part)
-                if self.body:
+                if self.in_paragraph:
                     self.body[-1] = f"{self.body[-1]} {part}".strip()
 
 

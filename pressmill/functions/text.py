@@ -20,6 +20,15 @@ def line_range(text: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(lines, first, last - first + 1), "\n")
 
 
+def line_ranges(text: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Several ranges of lines, with a mark where lines are left out between them."""
+    return F.concat_ws("\n[…]\n", *[line_range(text, first, last) for first, last in ranges])
+
+
+def ranges_label(ranges: list[tuple[int, int]]) -> str:
+    return ", ".join(range_label(first, last) for first, last in ranges)
+
+
 def range_label(first: int, last: int) -> str:
     return f"{first}–{last}" if last > first else f"{first}"
 
@@ -60,13 +69,30 @@ def has_all(text: Column, terms: list[str]) -> Column:
     return out
 
 
-# Patterns of credentials that must not be published; only their names are reported.
+# Signatures of credentials that must not be published. Only their names are reported.
 SECRETS = {
-    "private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "access key": r"\bAKIA[0-9A-Z]{16}\b",
-    "service token": r"\b(gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,})",
-    "mail address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
+    "private key": r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+    "fine-grained token": r"github_pat_[A-Za-z0-9_]{20,}",
+    "service token": r"gh[pousr]_[A-Za-z0-9]{30,}",
+    "access key": r"AKIA[0-9A-Z]{16}",
+    "model key": r"sk-[A-Za-z0-9]{32,}",
+    "chat token": r"xox[baprs]-[A-Za-z0-9-]{20,}",
 }
+# Folders, beginnings and ends of names that must not be published, and the size of a file that may be.
+_FOLDERS = (".venv/", ".language-venv/", ".devin/", "cache/", "historical/", "__pycache__/")
+_ENDS = (".log", ".pem", ".key", ".zip", ".gz", ".whl")
+_LARGEST = 2_000_000
+
+
+def path_issue(path: Column, size: Column) -> Column:
+    """Why a file must not be published by its name or size; null if it may."""
+    forbidden = F.lit(False)
+    for folder in _FOLDERS:
+        forbidden = forbidden | F.startswith(path, F.lit(folder))
+    for end in _ENDS:
+        forbidden = forbidden | F.endswith(path, F.lit(end))
+    forbidden = forbidden | F.contains(F.lower(path), F.lit("/backup")) | F.startswith(F.substring_index(path, "/", -1), F.lit(".env"))
+    return F.when(forbidden, "forbidden path").when(size > _LARGEST, "too large")
 
 
 def secret_kinds(text: Column) -> Column:
@@ -87,9 +113,10 @@ def paragraphs(text: Column, least_letters: int = 80) -> Column:
     return F.size(F.filter(lines, lambda x: F.char_length(F.regexp_replace(x, r"[^\p{L}]", "")) >= least_letters))
 
 
-ERROR_TITLES = ("not found", "access denied", "forbidden", "are you a robot", "error 404", "page unavailable", "just a moment", "subscribe to continue")
-
-
+# What titles of error, consent and check pages say, in four languages.
+ERROR_TITLES = (
+    "page not found", "access denied", "just a moment", "verify you are human", "error 404", "404 not found", "seite nicht gefunden", "página no encontrada", "page introuvable", "security check", "consent required",
+)
 PAGE_TYPES = ("text/html", "application/xhtml+xml")
 
 

@@ -25,23 +25,27 @@ def valid_stamp(label: Column, minutes: int = 15) -> Column:
 def deduplicate_as_of(rows: DataFrame, keys: list[str], cutoff: str | None = None) -> DataFrame:
     """One row per document: its earliest batch up to the cutoff and, in it, the least record id.
 
-    The language is null where the first batch has more than one. Two aggregates, both
-    combined before their shuffle; no window over a document's rows.
+    An unknown language is a language of its own: where the first batch has more than one, the document's
+    is null and its status ``ambiguous_first_batch``. Two aggregates, both combined before their shuffle;
+    no window over a document's rows.
     """
     seen = rows.where("batch is not null")
     if cutoff is not None:
         seen = seen.where(F.col("batch") <= cutoff)
-    by_batch = seen.groupBy(*keys, "batch").agg(F.min("record_id").alias("record_id"), F.min("language").alias("low"), F.max("language").alias("high"))
-    first = by_batch.groupBy(*keys).agg(F.min(F.struct("batch", "record_id", "low", "high")).alias("f"))
-    return first.select(*keys, "f.batch", "f.record_id", F.when(F.col("f.low") == F.col("f.high"), F.col("f.low")).alias("language"))
+    by_batch = seen.groupBy(*keys, "batch").agg(F.min("record_id").alias("record_id"), F.min("language").alias("low"), F.max("language").alias("high"), F.bool_or(F.col("language").isNull()).alias("unknown"))
+    first = by_batch.groupBy(*keys).agg(F.min(F.struct("batch", "record_id", "low", "high", "unknown")).alias("f"))
+    several = F.coalesce((F.col("f.low") != F.col("f.high")) | (F.col("f.low").isNotNull() & F.col("f.unknown")), F.lit(False))
+    return first.select(*keys, "f.batch", "f.record_id", F.when(~several, F.col("f.low")).alias("language"), F.when(several, "ambiguous_first_batch").otherwise("single").alias("language_status"))
 
 
-def observed_share(documents: DataFrame, expected: DataFrame, topic: str) -> DataFrame:
+def observed_share(documents: DataFrame, expected: DataFrame, topic: str, as_of: str | None = None) -> DataFrame:
     """Per expected language and bin: documents on the topic among all first seen then, with the reason where there is no share.
 
     ``documents`` has language, bin, topic; ``expected`` language and bin. Where a document's topic is
-    unknown (null), the share is not known either.
+    unknown (null), the share is not known either. A bin expected after ``as_of`` is an error: nobody can have seen it.
     """
+    if as_of is not None and not expected.where(F.col("bin") > as_of).isEmpty():
+        raise ValueError(f"bins after {as_of} can't have been observed")
     by_bin = documents.groupBy("bin").agg(F.count("*").alias("n_bin"))
     usable = documents.where("language is not null").groupBy("language", "bin").agg(F.count("*").alias("n_all"), F.count_if(F.col("topic") == topic).alias("n_on_topic"), F.count_if(F.col("topic").isNull()).alias("n_unknown"))
     rows = expected.join(by_bin, "bin", "left").join(usable, ["language", "bin"], "left")
@@ -71,6 +75,26 @@ def asof_links(probes: DataFrame, history: DataFrame, key: str, bin_column: str)
     return probes.join(sums, [key, bin_column], "left")
 
 
+def asof_rows(probes: DataFrame, history: DataFrame, key: str, bin_column: str, value: str) -> DataFrame:
+    """Of each (key, bin) of the probes, every history row of its key as of its bin: an array of (bin, value), in order.
+
+    The result holds each history row once for every later bin of its key that is probed, which is
+    what is asked for; probes of one bin share it. ``asof_links`` has the counts alone.
+    """
+    bins = probes.select(F.col(key).alias("k"), F.col(bin_column).alias("at")).distinct()
+    seen = history.select(F.col(key).alias("k"), F.struct(F.col(bin_column).alias("bin"), F.col(value).alias("value")).alias("r"))
+    rows = bins.join(seen, "k", "left").groupBy("k", "at").agg(F.array_sort(F.collect_list(F.when(F.col("r.bin") <= F.col("at"), F.col("r")))).alias("as_of_rows"))
+    return rows.select(F.col("k").alias(key), F.col("at").alias(bin_column), "as_of_rows")
+
+
+def must_match(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of a lookup table; a row whose key the table lacks, or a key that it has twice, is an error."""
+    known = lookup.groupBy(key).agg(F.count("*").alias("_times"), F.first(F.struct(*[c for c in lookup.columns if c != key])).alias("_found"))
+    joined = rows.join(known, key, "left")
+    checked = F.when(F.col("_times") == 1, F.col("_found")).otherwise(F.raise_error(F.concat(F.lit("no single entry for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return joined.withColumn("_found", checked).select(*rows.columns, "_found.*")
+
+
 def last_row(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The row of each key that comes last."""
     rest = [c for c in rows.columns if c not in (key, order)]

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.functions.urls import safe
 from pressmill.shared import ship
 
 VERSION = 1
@@ -271,6 +272,10 @@ def validate(df: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, "ordinal", "e.path", "e.message")
 
 
+# A time with its offset in fields that can exist; whether the day does, the parser says.
+_MOMENT = r"\A\d{4}-\d{2}-\d{2}[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d([.,]\d+)?)?(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)\z"
+
+
 def column_errors(rows: DataFrame) -> DataFrame:
     """The same rules as column expressions over articles that are already rows: record_id, rule, message."""
     value, precision = F.col("claimed_timestamp.value"), F.col("claimed_timestamp.precision")
@@ -281,22 +286,22 @@ def column_errors(rows: DataFrame) -> DataFrame:
     rows = rows.join(copies, ["investigation_id", "id"], "left")
     rule = lambda name, bad, message: F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(message).alias("message")))
     rules = [
-        rule("id", ~F.col("id").rlike(r"\A[a-z0-9][a-z0-9_-]{2,63}\z"), "bad slug"),
+        rule("id", F.col("id").isNull() | ~F.col("id").rlike(r"\A[a-z0-9][a-z0-9_-]{2,63}\z"), "bad slug"),
         rule("id_repeated", F.col("record_id") > F.col("first_record"), "duplicate article id"),
         rule("title", F.col("title").isNull() | (F.trim("title") == ""), "required"),
         rule("title_long", F.char_length("title") > 200, "exceeds 200 characters"),
         rule("publisher", F.col("publisher").isNull() | (F.trim("publisher") == ""), "required"),
         rule("publisher_long", F.char_length("publisher") > 120, "exceeds 120 characters"),
         rule("language", F.col("language").isNull() | ~F.col("language").rlike(r"\A[a-z]{1,40}\z"), "must be a lowercase word"),
-        rule("url", ~F.col("url").rlike(r"\Ahttps?://[^/?#@\s]+"), "unsafe address"),
+        rule("url", F.col("url").isNotNull() & safe(F.col("url")).isNull(), "unsafe address"),
         rule("relevance", F.col("relevance").isNull() | ~F.col("relevance").isin(*RELEVANCE), "must be one of the three"),
         rule("duplicate_status", ~F.col("duplicate_status").isin(*DUPLICATE), "must be one of the three"),
         rule("confirmed_group", (F.col("duplicate_status") == "confirmed") & (F.col("members") < 2), "needs two articles"),
         rule("excerpt_long", F.char_length("excerpt") > 2000, "exceeds 2000 characters"),
         rule("replay", F.col("include_in_replay") & F.col("claimed_timestamp").isNull(), "replay requires a claimed time"),
         rule("precision", F.col("claimed_timestamp").isNotNull() & (precision.isNull() | ~precision.isin("date", "datetime")), "must be date or datetime"),
-        rule("date_value", (precision == "date") & ~value.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date precision needs a day"),
-        rule("datetime_value", (precision == "datetime") & ~value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), "needs an explicit offset"),
+        rule("date_value", (precision == "date") & (~value.rlike(r"\A\d{4}-\d{2}-\d{2}\z") | F.try_to_date(value, "yyyy-MM-dd").isNull()), "date precision needs a day"),
+        rule("datetime_value", (precision == "datetime") & (~value.rlike(_MOMENT) | F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd").isNull()), "needs an explicit offset"),
     ]
     found = rows.select("record_id", F.explode(F.array_compact(F.array(*rules))).alias("e"))
     return found.select("record_id", "e.rule", "e.message")

@@ -63,6 +63,7 @@ def trailing_baseline(rows: DataFrame, value: str, count: str, floor: float = 2.
     rows = rows.withColumn("baseline_bins", F.when(whole, F.concat_ws(",", F.collect_list("bin").over(before))))
     mean, sd = F.col("baseline_mean"), F.col("baseline_sd")
     rows = rows.withColumn("threshold", F.round(F.greatest(mean * 2, mean + sd * 3, mean + F.lit(floor)), 9))
+    rows = rows.withColumn("fold", F.try_divide(F.col(value), F.when(mean != 0, mean)))
     return rows.withColumn("candidate", (F.col(count) >= least_count) & (F.round(value, 9) > F.col("threshold")))
 
 
@@ -108,6 +109,31 @@ def best_per_topic(rows: DataFrame, ratio: str) -> DataFrame:
     return rows.where(F.col(ratio).isNotNull()).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
+def chosen_alert(shares: DataFrame, raw: DataFrame, verified: bool) -> DataFrame:
+    """Each topic's alert of the greatest ratio to its threshold, the earliest of equals: by share, or, only
+    where normalisation isn't verified, by raw counts for topics without one. Both sides have topic, bin, n, ratio, candidate.
+    """
+    best = best_per_topic(shares.where("candidate"), "ratio").select("topic", "bin", "n", "ratio", F.lit("share").alias("basis"))
+    if verified:
+        return best
+    rest = raw.where("candidate").join(best.select("topic"), "topic", "left_anti")
+    return best.unionAll(best_per_topic(rest, "ratio").select("topic", "bin", "n", "ratio", F.lit("raw count only").alias("basis")))
+
+
+def norm_failures(points: DataFrame) -> DataFrame:
+    """Bins common to all topics whose norm isn't the same in each: bin, low, high; none where all agree."""
+    topics = points.select("topic").distinct().agg(F.count("*").alias("n_topics"))
+    bins = points.groupBy("bin").agg(F.countDistinct("topic").alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high"), F.count_if(F.col("norm").isNull()).alias("unknown"))
+    common = bins.join(F.broadcast(topics), F.col("n") == F.col("n_topics"))  # one row
+    return common.where((F.col("low") != F.col("high")) | (F.col("unknown") > 0)).select("bin", "low", "high")
+
+
+def collected(expected: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+    """Every expected request with its status, ``not collected`` where no response was saved."""
+    known = responses.groupBy(key).agg(F.max("status").alias("_status"))
+    return expected.join(known, key, "left").withColumn("status", F.coalesce(F.col("_status").cast("string"), F.lit("not collected"))).drop("_status")
+
+
 def coverage(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Per topic: bins expected, observed, missing and outside the grid, first and last observed."""
     sides = expected.select("topic", "bin", F.lit(True).alias("e")).join(observed.select("topic", "bin", F.lit(True).alias("o")).distinct(), ["topic", "bin"], "full")

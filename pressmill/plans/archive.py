@@ -33,8 +33,8 @@ def archive_project(spark, folder: str) -> DataFrame:
 
 
 def archive_asof_dedup(spark, folder: str) -> DataFrame:
-    """Documents as known at the cutoff."""
-    return A.deduplicate_as_of(_observations(spark, folder).where("document_id is not null"), ["document_id"], CUTOFF)
+    """Documents as known at the cutoff, by batch and document."""
+    return A.deduplicate_as_of(_observations(spark, folder).where("document_id is not null"), ["document_id"], CUTOFF).orderBy("batch", "document_id")
 
 
 def archive_language_share(spark, folder: str) -> DataFrame:
@@ -196,7 +196,8 @@ def _page(url: str) -> str:
 _OBS = rf"""obs AS (SELECT record_id, id, lower(language) AS language, substr(s, 1, 10) || lpad(((substr(s, 11, 2)::INT // 15) * 15)::VARCHAR, 2, '0') || '00' AS batch,
   {_page('url')} AS document_id, {_host('url')} AS domain FROM (SELECT *, regexp_replace(gdelt_seendate, '[TZ]', '', 'g') AS s FROM timeline_data))"""
 _DEDUP = """firsts AS (SELECT document_id, min(batch) AS batch FROM obs WHERE document_id IS NOT NULL AND batch IS NOT NULL {cut} GROUP BY 1),
-dedup AS (SELECT document_id, batch, min(record_id) AS record_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) END AS language FROM obs JOIN firsts USING (document_id, batch) GROUP BY 1, 2)"""
+dedup AS (SELECT document_id, batch, min(record_id) AS record_id, CASE WHEN count(DISTINCT language) = 1 AND count(*) = count(language) THEN min(language) END AS language,
+  CASE WHEN count(DISTINCT language) + (count(*) > count(language))::INT > 1 THEN 'ambiguous_first_batch' ELSE 'single' END AS language_status FROM obs JOIN firsts USING (document_id, batch) GROUP BY 1, 2)"""
 _NAMES = ", ".join(f"('{name}', '{language}')" for language, ns in L.LABELS.items() for name in ns.split())
 _NONE = ", ".join(f"'{x}'" for x in L.NO_LANGUAGE)
 SQL = {

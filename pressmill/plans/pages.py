@@ -116,22 +116,22 @@ QUERIES = {
 }
 
 _RULES = [
-    ("id", r"NOT regexp_full_match(id, '[a-z0-9][a-z0-9_-]{2,63}')", "bad slug"),
+    ("id", r"id IS NULL OR NOT regexp_full_match(id, '[a-z0-9][a-z0-9_-]{2,63}')", "bad slug"),
     ("id_repeated", "record_id > first_record", "duplicate article id"),
     ("title", "title IS NULL OR trim(title, ' ') = ''", "required"),
     ("title_long", "length(title) > 200", "exceeds 200 characters"),
     ("publisher", "publisher IS NULL OR trim(publisher, ' ') = ''", "required"),
     ("publisher_long", "length(publisher) > 120", "exceeds 120 characters"),
     ("language", "language IS NULL OR NOT regexp_full_match(language, '[a-z]{1,40}')", "must be a lowercase word"),
-    ("url", r"NOT regexp_matches(url, '^https?://[^/?#@\s]+')", "unsafe address"),
+    ("url", r"url IS NOT NULL AND NOT regexp_full_match(url, '(?i:https?)://[^/?#@:\s][^/?#@\s]*([/?#]\S*)?')", "unsafe address"),
     ("relevance", "relevance IS NULL OR relevance NOT IN ('related', 'unrelated', 'uncertain')", "must be one of the three"),
     ("duplicate_status", "duplicate_status NOT IN ('confirmed', 'possible', 'unassessed')", "must be one of the three"),
     ("confirmed_group", "duplicate_status = 'confirmed' AND members < 2", "needs two articles"),
     ("excerpt_long", "length(excerpt) > 2000", "exceeds 2000 characters"),
     ("replay", "include_in_replay AND claimed_timestamp IS NULL", "replay requires a claimed time"),
     ("precision", "claimed_timestamp IS NOT NULL AND (p IS NULL OR p NOT IN ('date', 'datetime'))", "must be date or datetime"),
-    ("date_value", r"p = 'date' AND NOT regexp_matches(v, '^\d{4}-\d{2}-\d{2}$')", "date precision needs a day"),
-    ("datetime_value", r"p = 'datetime' AND NOT regexp_matches(v, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})$')", "needs an explicit offset"),
+    ("date_value", r"p = 'date' AND (NOT regexp_full_match(v, '\d{4}-\d{2}-\d{2}') OR try_cast(v AS DATE) IS NULL)", "date precision needs a day"),
+    ("datetime_value", r"p = 'datetime' AND (NOT regexp_full_match(v, '\d{4}-\d{2}-\d{2}[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d([.,]\d+)?)?(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)') OR try_cast(substr(v, 1, 10) AS DATE) IS NULL)", "needs an explicit offset"),
 ]
 SQL = {
     "import_validation": """WITH b AS (SELECT *, claimed_timestamp.value AS v, claimed_timestamp.precision AS p, coalesce(duplicate_group, 'UNASSESSED-' || id) AS g FROM synthetic_investigation),

@@ -48,7 +48,9 @@ def language_metadata_rule(spark, folder: str) -> DataFrame:
 def quality_gates(spark, folder: str) -> DataFrame:
     """The gate of those on title and text alone that each document stops at, with the measures behind it."""
     rows = table(spark, folder, "documents")
-    status = T.quality_status(F.col("url").isNotNull(), F.col("topic"), F.col("text"))
+    place = F.pmod("doc_id", F.lit(60))
+    title = F.when(place == 0, "Forbidden harbour").when(place == 1, "PÁGINA no encontrada").when(place == 2, "Seite nicht gefunden").when(place == 3, "Ship not found").otherwise(F.col("topic"))
+    status = T.quality_status(F.col("url").isNotNull(), title, F.col("text"))
     return rows.select("doc_id", status.alias("status"), T.alphabetic(F.col("text")).alias("letters"), T.sentence_marks(F.col("text")).alias("marks"), T.paragraphs(F.col("text")).alias("paragraphs"))
 
 
@@ -72,9 +74,9 @@ def excerpt_truncate(spark, folder: str) -> DataFrame:
 
 
 def line_range_excerpt(spark, folder: str) -> DataFrame:
-    """Lines two to four of every document."""
-    rows = table(spark, folder, "documents")
-    return rows.select("doc_id", T.line_range(F.col("text"), 2, 4).alias("excerpt"), F.lit(T.range_label(2, 4)).alias("label"))
+    """Lines two to four and line six of every document."""
+    rows, ranges = table(spark, folder, "documents"), [(2, 4), (6, 6)]
+    return rows.select("doc_id", T.line_ranges(F.col("text"), ranges).alias("excerpt"), F.lit(T.ranges_label(ranges)).alias("label"))
 
 
 def text_guards(spark, folder: str) -> DataFrame:
@@ -85,9 +87,16 @@ def text_guards(spark, folder: str) -> DataFrame:
 
 
 def secret_scan(spark, folder: str) -> DataFrame:
-    """Documents by kinds of credentials found in them."""
-    rows = table(spark, folder, "documents").select(F.array_join(T.secret_kinds(F.col("text")), ",").alias("kinds"))
-    return rows.groupBy("kinds").agg(F.count("*").alias("n_documents"))
+    """Documents, some with a credential written after their text, as files to publish: by kinds of credentials and by path issues."""
+    rows = table(spark, folder, "documents").select("doc_id", "topic", "n_chars", F.concat_ws(" ", "text", F.get(F.array(*map(F.lit, _PLANTED)), F.pmod("doc_id", F.lit(50)).cast("int"))).alias("text"))
+    name = F.concat(F.get(F.array(*map(F.lit, _PLACES)), F.pmod("doc_id", F.lit(7)).cast("int")), F.col("doc_id").cast("string"), F.when(F.col("topic") == "rail", ".log").otherwise(".txt"))
+    kinds = F.array_join(T.secret_kinds(F.col("text")), ",")
+    return rows.groupBy(kinds.alias("kinds"), T.path_issue(name, F.col("n_chars") * 40).alias("path_issue")).agg(F.count("*").alias("n_documents"))
+
+
+# Written so that no scan of this file takes them for credentials.
+_PLANTED = ("-----BEGIN " + "EC PRIVATE KEY-----", "github" + "_pat_" + "a1B2_" * 4, "gho" + "_" + "aB3" * 10, "AKIA" + "ABCD" * 4, "sk" + "-" + "x9" * 16, "xoxb" + "-" + "1a-" * 7, "gho" + "_" + "aB3" * 9, "name@mail.example")
+_PLACES = ("pages/", "cache/", "pages/backup/", "pages/.env", "historical/", "pages/historical/", "notes/")
 
 
 def claimed_time_rules(spark, folder: str) -> DataFrame:
@@ -135,9 +144,9 @@ WHEN 'zho' THEN 'zh' WHEN 'chi' THEN 'zh' ELSE tag END END AS html_language, tri
     "language_metadata_rule": r"""WITH s AS (SELECT record_id, lower(language) AS l, trim(lower(language)) AS code, coalesce(topic = 'rail', false) AS two FROM evidence_sources),
 x AS (SELECT *, CASE WHEN l IS NULL THEN 'missing' WHEN two AND code <> 'rus' THEN 'conflicting' WHEN regexp_matches(code, '^[a-z]{3}$') AND code NOT IN ('und', 'unk', 'xxx', 'zxx') THEN 'explicit' ELSE 'unusable' END AS status FROM s)
 SELECT record_id, CASE WHEN status = 'explicit' THEN code END AS language, status, CASE WHEN l IS NOT NULL THEN 'GT 1.0' END AS engine FROM x""",
-    "quality_gates": rf"""WITH m AS (SELECT doc_id, url, topic, text, {_LETTERS.format('text')} AS letters, length(text) - length(regexp_replace(text, '[.!?。！？]', '', 'g')) AS marks,
+    "quality_gates": rf"""WITH m AS (SELECT doc_id, url, CASE doc_id % 60 WHEN 0 THEN 'Forbidden harbour' WHEN 1 THEN 'PÁGINA no encontrada' WHEN 2 THEN 'Seite nicht gefunden' WHEN 3 THEN 'Ship not found' ELSE topic END AS title, text, {_LETTERS.format('text')} AS letters, length(text) - length(regexp_replace(text, '[.!?。！？]', '', 'g')) AS marks,
 len(list_filter({_LINES}, lambda x: {_LETTERS.format('x')} >= 80)) AS paragraphs, length(text) - length(replace(text, chr(65533), '')) AS broken FROM documents)
-SELECT doc_id, CASE WHEN url IS NULL THEN 'not fetched' WHEN {' OR '.join(f"contains(lower(coalesce(topic, '')), '{p}')" for p in T.ERROR_TITLES)} THEN 'error title' WHEN text IS NULL OR trim(text, ' ') = '' THEN 'no body'
+SELECT doc_id, CASE WHEN url IS NULL THEN 'not fetched' WHEN regexp_matches(lower(coalesce(title, '')), 'page not found|access denied|just a moment|verify you are human|error 404|404 not found|seite nicht gefunden|página no encontrada|page introuvable|security check|consent required') THEN 'error title' WHEN text IS NULL OR trim(text, ' ') = '' THEN 'no body'
 WHEN length(text) < 600 OR letters < 300 THEN 'short' WHEN marks < 3 AND paragraphs < 3 THEN 'no structure' WHEN broken > greatest(2.0, length(text) * 0.005) THEN 'broken characters' ELSE 'usable' END AS status,
 letters, marks, paragraphs FROM m""",
     "hint_terms": f"WITH t AS (SELECT record_id, array_to_string(list_sort(list_filter([{_TERMS}], lambda x: x IS NOT NULL)), ',') AS terms FROM timeline_data) SELECT * FROM t WHERE terms <> ''",
@@ -145,13 +154,16 @@ letters, marks, paragraphs FROM m""",
 FROM documents WHERE text IS NOT NULL""",
     "excerpt_truncate": r"""WITH e AS (SELECT doc_id, length(text) > 900 AS cut, CASE WHEN length(text) > 900 AND contains(substr(text, 821, 80), ' ') THEN regexp_replace(substr(text, 1, 900), ' [^ ]*$', '') ELSE substr(text, 1, 900) END AS excerpt FROM documents)
 SELECT doc_id, length(excerpt) AS n_chars, md5(excerpt) AS digest, coalesce(cut, false) AS truncated FROM e""",
-    "line_range_excerpt": f"SELECT doc_id, array_to_string({_LINES}[2:4], chr(10)) AS excerpt, '2–4' AS label FROM documents",
+    "line_range_excerpt": f"SELECT doc_id, concat_ws(chr(10) || '[…]' || chr(10), array_to_string({_LINES}[2:4], chr(10)), array_to_string({_LINES}[6:6], chr(10))) AS excerpt, '2–4, 6' AS label FROM documents",
     "text_guards": r"""WITH w AS (SELECT *, CASE WHEN language = 'german' THEN '=' ELSE '' END || coalesce(title, '') AS written FROM timeline_data)
 SELECT record_id, CASE WHEN regexp_matches(written, '^[=+\-@]') THEN '''' || written ELSE written END AS sheet_cell, regexp_replace(replace(title, '|', '\|'), '[\r\n]+', ' ', 'g') AS table_cell,
 regexp_full_match(id, '[a-z0-9][a-z0-9_-]{2,63}') AS slug, regexp_full_match(publisher, '[a-z0-9][a-z0-9_-]{2,63}') AS publisher_slug FROM w""",
-    "secret_scan": "WITH k AS (SELECT array_to_string(list_filter(["
-    + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in T.SECRETS.items())
-    + "], lambda x: x IS NOT NULL), ',') AS kinds FROM documents) SELECT kinds, count(*) AS n_documents FROM k GROUP BY 1",
+    "secret_scan": f"""WITH d AS (SELECT topic, doc_id, n_chars, concat_ws(' ', text, [{', '.join(f"'{x}'" for x in _PLANTED)}][doc_id % 50 + 1]) AS t,
+  [{', '.join(f"'{x}'" for x in _PLACES)}][doc_id % 7 + 1] || doc_id || CASE WHEN topic = 'rail' THEN '.log' ELSE '.txt' END AS name FROM documents),
+k AS (SELECT *, array_to_string(list_filter([CASE WHEN regexp_matches(t, '-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----') THEN 'private key' END, CASE WHEN regexp_matches(t, 'github_pat_[A-Za-z0-9_]{{20,}}') THEN 'fine-grained token' END,
+  CASE WHEN regexp_matches(t, 'gh[pousr]_[A-Za-z0-9]{{30,}}') THEN 'service token' END, CASE WHEN regexp_matches(t, 'AKIA[0-9A-Z]{{16}}') THEN 'access key' END, CASE WHEN regexp_matches(t, 'sk-[A-Za-z0-9]{{32,}}') THEN 'model key' END,
+  CASE WHEN regexp_matches(t, 'xox[baprs]-[A-Za-z0-9-]{{20,}}') THEN 'chat token' END], lambda x: x IS NOT NULL), ',') AS kinds FROM d)
+SELECT kinds, CASE WHEN regexp_matches(name, '^(cache|historical)/|[.]log$|/backup|/[.]env') THEN 'forbidden path' WHEN n_chars * 40 > 2000000 THEN 'too large' END AS path_issue, count(*) AS n_documents FROM k GROUP BY 1, 2""",
     "claimed_time_rules": r"""WITH c AS (SELECT record_id, claimed_timestamp.value AS v, claimed_timestamp.precision AS p FROM synthetic_investigation WHERE claimed_timestamp IS NOT NULL),
 u AS (SELECT *, CASE WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$') THEN
   epoch(try_strptime(regexp_replace(substr(v, 1, 16) || CASE WHEN substr(v, 17, 1) = ':' THEN substr(v, 17, 3) ELSE ':00' END, ' ', 'T'), '%Y-%m-%dT%H:%M:%S'))
