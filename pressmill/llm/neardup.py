@@ -10,7 +10,8 @@ classes then keeps k shared words, and both sets carry that combination. The lar
 of a pair probes with the prefix for the smallest partner it may have; the smaller one is
 indexed with the shorter prefix for partners of at least its own size. Signatures met in
 an equi-join are screened by size and by a bitmap bound on the symmetric difference, and
-the survivors are verified on their words.
+the survivors are verified on the 32-bit hashes of their words (two different words of a pair
+of texts share one with a chance below one in a million).
 
 Texts with the same word set form one class before any signature is written, so copies,
 however many, cost one signature set. Pairs are found between classes; ``member_pairs``
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from pressmill.shared import materialize, ship
 
 _WORD = re.compile(r"[^\W_]+")
-CLASS_LIMITS = (3_000, 30_000)
-"""Largest count of a word of class 1 and 2; more frequent ones are of class 3."""
-LONG = 128
-"""Sets of more words write single words only: they have rare ones enough, and combinations would be too many."""
+CLASS_FACTORS = (3, 30)
+"""Largest counts of a word of class 1 and 2, in square roots of the number of sets; more frequent ones are of class 3."""
+PLAIN = 128
+"""Longest sets whose classes stay whole; in longer ones words of class 2 and 3 are combined within groups by hash."""
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -144,13 +145,16 @@ def _runs(row: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
-def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, threshold: float, limits=CLASS_LIMITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, threshold: float, limits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, indexed) of all sets; ``tokens`` are the sets one after the other, ``levels`` their counts' levels.
 
     Sets write their signatures in rounds by size: two classes for at most five words
     (three classes may leave a set three chances short, which small sets may lack), three
-    classes for four to ``LONG`` words, one class beyond. Rounds overlap so far that a
-    pair alike enough always has both its sets in one of them.
+    classes beyond. Rounds overlap so far that a pair alike enough always has both its sets in
+    one of them. Combinations of long sets would be too many, so each round of more than ``PLAIN``
+    words, doubling in size, spreads the words of class 2 and 3 over groups by their hash and combines
+    within a group: a group with c words of class k gives c - k + 1 chances. A round has a group
+    for every six words of its smallest set, so that at most half of a set's chances are lost.
     """
     rows = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
     order = np.argsort((rows << np.uint64(40)) | (levels.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64))
@@ -158,16 +162,25 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, thresh
     same = sizes - np.ceil(2 * threshold / (1 + threshold) * sizes - 1e-9).astype(int)
     least = sizes - np.ceil(threshold * sizes - 1e-9).astype(int)
     out_rows, out_keys, out_index = [], [], []
-    rounds = ((sizes <= 5), (sizes >= 4) & (sizes <= LONG), sizes > threshold * LONG)
-    for part, use in enumerate(rounds):
+    rounds = [((sizes <= 5), 1), ((sizes >= 4) & (sizes <= PLAIN), 1)]
+    low = PLAIN
+    while low < sizes.max(initial=0):
+        rounds.append(((sizes > threshold * low) & (sizes <= 2 * low), max(1, int(threshold * low / 6))))
+        low *= 2
+    for part, (use, groups) in enumerate(rounds):
         pick = use[rows]
         if not pick.any():
             continue
         row, token, level = rows[pick], tokens[pick], levels[pick]
         kind = np.ones(len(row), np.int64)
-        for limit in limits[: (1, 2, 0)[part]]:
+        for limit in limits[: 1 if part == 0 else 2]:
             kind += level > _level(limit)
-        place = _runs(row * 4 + kind)  # position in the row's class: classes follow each other
+        group = kind.copy()
+        if groups > 1:  # words of one class and group follow each other
+            group = np.where(kind > 1, kind * groups + (_mix(token) % np.uint64(groups)).astype(np.int64), kind)
+            again = np.lexsort((token, level, group, kind, row))
+            row, token, level, kind, group = (x[again] for x in (row, token, level, kind, group))
+        place = _runs(row * (4 * groups + 4) + group)  # position in the row's class or group
         chance = (place >= kind - 1).astype(np.int64)
         total = np.cumsum(chance)
         begin = _runs(row) == 0
@@ -213,22 +226,26 @@ def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low.view(np.int64), high.view(np.int64)
 
 
-def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_bits: int | None = None, limits=CLASS_LIMITS) -> DataFrame:
+def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_bits: int | None = None, limits: tuple[int, int] | None = None) -> DataFrame:
     """(set_a, set_b, likeness) of all pairs of different word sets of one group alike at or above the threshold.
 
     The sketches have about four cells of counts for each set and sixteen marks, but no
     more than ``2**24`` and ``2**25``: what is broadcast stays below 32 MB.
     """
     context = sets.sparkSession.sparkContext
+    # copies, however many, are one row from here on
+    plain = materialize(sets.select("set_id", "tokens", F.xxhash64(group).alias("part")).dropDuplicates(["set_id"]), "distinct-sets")
+    n_sets = plain.count()
+    limits = limits or tuple(max(1, int(factor * n_sets**0.5)) for factor in CLASS_FACTORS)
     if sketch_bits is None:
-        sketch_bits = min(24, max(12, sets.count().bit_length() + 2))
+        sketch_bits = min(24, max(12, n_sets.bit_length() + 2))
     word_mask, flag_cells = np.uint64((1 << sketch_bits) - 1), 1 << min(25, sketch_bits + 2)
     flag_mask = np.uint64(flag_cells - 1)
 
     def word_cells(tokens: np.ndarray) -> np.ndarray:
         return (tokens.astype(np.uint64) & word_mask).astype(np.int64)
 
-    words = context.broadcast(cell_levels(sets.select("tokens"), lambda batch: word_cells(_flat(batch, 0)[0]), sketch_bits))
+    words = context.broadcast(cell_levels(plain.select("tokens"), lambda batch: word_cells(_flat(batch, 0)[0]), sketch_bits))
 
     def signed(batch: pa.RecordBatch):
         """Words and sizes of a batch's sets; row, key, cell and index flag of their signatures, none shared between groups."""
@@ -242,14 +259,11 @@ def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_
         # the second half marks what is in the index; one mark counts as two
         return np.concatenate([cells, np.repeat(cells[index] + flag_cells, 2)])
 
-    plain = sets.select("set_id", "tokens", F.xxhash64(group).alias("part"))
     flags = context.broadcast(cell_flags(plain, written_cells, 2 * flag_cells, 2))
     schema = "signature bigint, set_id bigint, n int, indexed boolean, low bigint, high bigint"
 
     def run(batches):
-        seen: set[int] = set()  # copies within an input partition are written once
         for batch in batches:
-            batch = batch.filter(pa.array([not (i in seen or seen.add(i)) for i in batch.column(0).to_pylist()], pa.bool_()))
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
@@ -261,19 +275,19 @@ def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_
             for start in range(0, len(row), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 200_000]) for c in columns], names=["signature", "set_id", "n", "indexed", "low", "high"])
 
-    rows = plain.mapInArrow(run, schema).repartition("signature")
-    rows = rows.groupBy("signature", "set_id", "n", "low", "high").agg(F.max("indexed").alias("indexed"))
-    a = rows.where("indexed").select("signature", F.col("set_id").alias("set_a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    b = rows.select("signature", F.col("set_id").alias("set_b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    rows = plain.mapInArrow(run, schema)
+    # both sides are one exchange by signature that the planner made, so adaptive execution may split a hot signature
+    a, b = rows.alias("a"), rows.alias("b")
+    apart = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
     most = (1 - threshold) / (1 + threshold)
+    na, nb = F.col("a.n"), F.col("b.n")
     alike = (
-        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("set_a") < F.col("set_b"))))
-        & (F.col("na") >= F.col("nb") * threshold - 1e-9)
-        & (apart <= (F.col("na") + F.col("nb")) * most + 1e-9)
-    )
+        # which side must be in the index is said in terms of both, lest it be filtered before the exchange and make it two
+        F.when(F.col("a.indexed"), F.col("b.indexed").isNotNull()).otherwise(False)
+        & ((na < nb) | ((na == nb) & (F.col("a.set_id") < F.col("b.set_id")))) & (na >= nb * threshold - 1e-9) & (apart <= (na + nb) * most + 1e-9)
+    )
     # of equal sizes the smaller id is taken from the index: both are in it
-    pairs = materialize(a.join(b, "signature").where(alike).select("set_a", "set_b").distinct(), "candidates")
+    pairs = materialize(a.join(b, (F.col("a.signature") == F.col("b.signature")) & alike).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct(), "candidates")
 
     def id_cells(ids: np.ndarray) -> np.ndarray:
         return (_mix(ids.view(np.uint64)) & flag_mask).astype(np.int64)
@@ -285,7 +299,7 @@ def similar_classes(sets: DataFrame, group: str, threshold: float = 0.8, sketch_
         for batch in batches:
             yield batch.filter(pa.array(_flagged(wanted.value, id_cells(batch.column(0).to_numpy()))))
 
-    tokens = plain.select("set_id", "tokens").mapInArrow(chosen, "set_id bigint, tokens array<int>").groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
+    tokens = plain.select("set_id", "tokens").mapInArrow(chosen, "set_id bigint, tokens array<int>")
     joined = pairs.join(tokens.select(F.col("set_id").alias("set_a"), F.col("tokens").alias("ta")), "set_a")
     joined = joined.join(tokens.select(F.col("set_id").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
     both = F.size(F.array_intersect("ta", "tb"))

@@ -64,6 +64,40 @@ def test_signatures_are_complete(threshold, limits, seed):
                 assert indexed.get(i, set()) & every.get(j, set()), (s, t)
 
 
+@pytest.mark.parametrize("limits", [(3_000, 30_000), (40, 60), (5, 30), (1, 2)])
+@pytest.mark.parametrize("threshold", [0.75, 0.9])
+def test_signatures_of_long_sets_are_complete(threshold, limits):
+    """Sets of 90 to 600 words, frequent ones among them, with copies at the edge of the threshold."""
+    r = random.Random(8)
+    rows = []
+    for size in (90, 110, 127, 128, 129, 150, 200, 255, 257, 300, 520, 600):
+        base = [f"w{k}" for k in r.sample(range(900), size)]
+        rows.append(frozenset(base))
+        for _ in range(2):
+            gone = int(size * (1 - threshold) / (1 + threshold))
+            rows.append(frozenset(base[gone:] + [f"n{r.randrange(10**6)}" for _ in range(r.randrange(gone + 1))]))
+            rows.append(frozenset(r.sample(base, int(size * threshold) + 1)))
+    tokens, sizes = N.flat_word_sets([" ".join(sorted(s)) for s in rows])
+    counts: dict = {}
+    for t in tokens.tolist():
+        counts[t] = counts.get(t, 0) + 1
+    levels = np.asarray([N._level(counts[t]) for t in tokens.tolist()], np.uint8)
+    row, keys, index = N.signatures(tokens, sizes, levels, threshold, limits)
+    every = [set() for _ in rows]
+    indexed = [set() for _ in rows]
+    for i, k, x in zip(row.tolist(), keys.tolist(), index.tolist(), strict=True):
+        every[i].add(k)
+        if x:
+            indexed[i].add(k)
+    pairs = 0
+    for i, s in enumerate(rows):
+        for j, t in enumerate(rows):
+            if i != j and s != t and len(s) <= len(t) and len(s & t) / len(s | t) >= threshold:
+                pairs += 1
+                assert indexed[i] & every[j], (len(s), len(t))
+    assert pairs > 10 and len(row) < 20_000 * len(rows)
+
+
 @pytest.mark.parametrize("limits", [(3_000, 30_000), (3, 10)])
 def test_frame_against_all_pairs(spark, limits):
     rows = world(11)
