@@ -12,7 +12,7 @@ texts of each language, ``chars_per_text`` characters of each) whose sentences a
 function words of the label's language. Everything else covers all rows and whole texts;
 furniture is counted over all of them, and is what recurs on a share of the pages.
 
-Defined results: null, empty or wordless texts get empty arrays; a label that is null,
+Defined results: null, empty or wordless texts, and those in another language, get empty arrays; a label that is null,
 blank or names no language is ``missing``; repeated rows are scored alike; rows and other
 columns are kept as they are, and an empty table gives an empty result. An empty training
 sample leaves function words and scripts to decide.
@@ -47,6 +47,8 @@ _TOKEN = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+")
 _CUT = re.compile(r"[\r\n]+|(?<=[.!?…])\s+|(?<=[。！？；])|\s[|–—/•·]+\s")
 _QUOTED = re.compile(r"«[^«»\r\n]{0,300}»|“[^“”\r\n]{0,300}”|„[^„“”\r\n]{0,300}[“”]|「[^「」\r\n]{0,300}」|\"[^\"\r\n]{0,300}\"")
 _FLOOR = -13.0
+LEAST_KNOWN = 0.4
+"""Share of known words below which a text is in none of the languages."""
 
 
 def _words(segment: str) -> list[str]:
@@ -122,9 +124,12 @@ class LanguageModel:
         agreement = votes[int(order[0])] / votes.total() if votes else 0.0
         return [LANGUAGES[k] for k in order[:5]], score, margin, margin / max(1, sum(c.isalpha() for c in text)), agreement
 
-    def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each segment: its text's index, best language, confidence, scored words, and known ones among them."""
-        owner, ids, unknown, counts = [], [], [], []
+    def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment: its text's index, best language, confidence, scored words, known ones among them, and unknown ones that are no names.
+
+        Kana are counted by their characters, twice, as the words they are part of have no spaces and ideographs beside them.
+        """
+        owner, ids, unknown, counts, strange = [], [], [], [], []
         get = self.words.get
         for i, text in enumerate(texts):
             if not text:
@@ -138,21 +143,27 @@ class LanguageModel:
                 if not tokens:
                     continue
                 found = [get(t, -1) for t in tokens]
+                odd = 0
                 if -1 in found:
                     at = len(ids)
                     for j, k in enumerate(found):
                         if k < 0:
                             found[j] = 0
                             word = tokens[j]
-                            if len(word) > 2 and word[0].islower():
-                                unknown.append((at + j, word))
+                            if word[0].islower():
+                                odd += 1
+                                if len(word) > 2:
+                                    unknown.append((at + j, word))
+                            elif "\u3040" <= word[0] <= "\u30ff":
+                                odd += 2 * len(word)
                             elif "㐀" <= word[0] <= "鿿":
                                 found[j] = get("一", 0)
                 ids += found
                 owner.append(i)
                 counts.append(len(found))
+                strange.append(odd)
         if not owner:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, int)
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
         index = np.asarray(ids)
         score = self.scores[index]
         scored = index > 0
@@ -167,15 +178,18 @@ class LanguageModel:
         shifted = (total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
         weight = np.exp(shifted)
         best = weight.argmax(axis=1)
-        return np.asarray(owner), best, 1 / weight.sum(axis=1), n, known
+        return np.asarray(owner), best, 1 / weight.sum(axis=1), n, known, np.asarray(strange)
 
-    def texts(self, texts: list[str | None], least_words: int = 5, least_confidence: float = 0.8) -> list[tuple[list[str], list[float], list[int]]]:
+    def texts(self, texts: list[str | None], least_words: int = 5, least_confidence: float = 0.8, least_known: float = LEAST_KNOWN) -> list[tuple[list[str], list[float], list[int]]]:
         """Languages of each text, most words first, with confidence (word-weighted mean) and words.
 
         A segment speaks for its language with ``least_words`` known words; where none does, the
-        best-scored language of all segments stands if at least two words were scored.
+        best-scored language of all segments stands if at least two words were scored. A text of which fewer
+        than ``least_known`` of the words that are no names are known is in none of the languages.
         """
-        owner, best, confidence, n, known = self.segments(texts)
+        owner, best, confidence, n, known, strange = self.segments(texts)
+        ours = np.bincount(owner, known, len(texts))
+        foreign = ours < least_known * (ours + np.bincount(owner, strange, len(texts)))
         strong = (known >= least_words) & (confidence >= least_confidence)
         found: list[dict[int, list[float]]] = [{} for _ in texts]
         weak: list[dict[int, list[float]]] = [{} for _ in texts]
@@ -186,7 +200,10 @@ class LanguageModel:
             entry[0] += c * k
             entry[1] += k
         out = []
-        for strongs, weaks in zip(found, weak, strict=True):
+        for strongs, weaks, none in zip(found, weak, foreign.tolist(), strict=True):
+            if none:
+                out.append(([], [], []))
+                continue
             chosen = strongs
             if not chosen and weaks:
                 b = max(weaks, key=lambda x: (weaks[x][0], -x))
@@ -328,7 +345,7 @@ def segment_languages(df: DataFrame, text: str, model: LanguageModel, keys: list
 
     def run(batches):
         for batch in batches:
-            owner, best, confidence, n, _ = shared.value.segments(batch.column(len(keys)).to_pylist())
+            owner, best, confidence, n, *_ = shared.value.segments(batch.column(len(keys)).to_pylist())
             if not len(owner):
                 continue
             first = np.r_[True, owner[1:] != owner[:-1]]

@@ -92,3 +92,29 @@ def test_fit_from_is_bounded_and_survives_empty(spark):
     assert L.fit_from(df, "k", "text", "lang", per_language=10).texts([sentence(r, "english")])[0][0] == ["english"]
     empty = L.fit_from(df.limit(0), "k", "text", "lang")
     assert empty.texts([sentence(r, "chinese"), None, ""])[0][0] == ["chinese"]
+
+
+FOREIGN = [
+    "Il governo ha annunciato ieri che lo sciopero dei lavoratori del porto di Genova durerà almeno tre giorni, secondo fonti sindacali.",
+    "O governo anunciou ontem que a greve dos trabalhadores do porto de Santos vai durar pelo menos três dias, segundo fontes sindicais.",
+    "De regering kondigde gisteren aan dat de staking van de havenarbeiders in Rotterdam minstens drie dagen zal duren.",
+    "Уряд оголосив учора, що страйк працівників порту триватиме щонайменше три дні, за словами профспілки.",
+    "政府は昨日、港湾労働者のストライキが少なくとも三日間続くと発表した。",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_other_languages_are_none_of_the_six(spark, folder, text):
+    from pressmill.tables import table
+
+    model = _model_of_tables(spark, folder, table)
+    assert model.texts([text]) == [([], [], [])]
+
+
+_MODELS = {}
+
+
+def _model_of_tables(spark, folder, table):
+    if folder not in _MODELS:
+        _MODELS[folder] = L.fit_from(table(spark, folder.replace("sf0.001", "sf0.01"), "documents"), "doc_id", "text", "lang")
+    return _MODELS[folder]
