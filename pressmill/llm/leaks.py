@@ -21,6 +21,7 @@ left unread.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import sys
@@ -215,6 +216,14 @@ class PassageIndex:
 _INDEXES: dict = {}
 
 
+def _digest(block: list[tuple[int, str]]) -> str:
+    """What a block holds, so that no worker takes another block's index for its own."""
+    made = hashlib.sha256()
+    for key, text in block:
+        made.update(f"{key}:{len(text)}:{text}\n".encode("utf-8", "surrogatepass"))
+    return made.hexdigest()
+
+
 def _index(shared, passage: int, shingle: int, miss: float) -> PassageIndex:
     """The index of a broadcast block, built once in each worker process."""
     key = (shared.value[0], passage, shingle, miss)
@@ -239,8 +248,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item
         blocks[-1].append((row.k, row.t))
         held += len(row.t) * 4
     out = None
-    for number, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast((f"{id(block)}-{number}", block))
+    for block in blocks:
+        shared = spark.sparkContext.broadcast((_digest(block), block))
 
         def search(batches, shared=shared):
             for pdf in batches:
