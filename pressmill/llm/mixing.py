@@ -91,15 +91,21 @@ def pivot(records, seed: int):
     return held
 
 
-def _pivot_rows(key: str, frame: pd.DataFrame, seed: int, state: dict) -> list[tuple]:
-    """Run each source's records through its pivot; state holds one residual per source."""
+def _pivot_rows(key: str, frame: pd.DataFrame, seed: int, state: dict, seen: dict) -> list[tuple]:
+    """Run each source's records through its pivot; state holds one residual per source, seen the last key and how often it came."""
     rows = []
     # heaviest first: a heavy record's fraction is settled by the lighter ones after it, so what is left is light
     ordered = frame.sort_values(["n_tokens", key], ascending=[False, True])
     for source, part in ordered.groupby("source", sort=True):
-        # records go by (key, place), so that repeated keys stay apart; the held residual has place -1
+        # records go by (key, size, occurrence), so that repeated keys stay apart and no draw sees where a batch ends
         held = state.pop(source, None)
-        keys = [*([(held[0], -1)] if held else []), *zip(part[key], range(len(part)), strict=True)]
+        last, times = seen.get(source, (None, -1))
+        places = []
+        for k in zip(part[key], part["n_tokens"], strict=True):
+            last, times = (k, times + 1) if k == last else (k, 0)
+            places.append((*k, times))
+        seen[source] = (last, times)
+        keys = [*([held[0]] if held else []), *places]
         sizes = [*([held[1]] if held else []), *part["n_tokens"]]
         fractions = [*([held[2]] if held else []), *part["fraction"]]
         whole = dict(zip(keys, zip(sizes, [*([held[3]] if held else []), *part["whole"]], strict=True), strict=True))
@@ -112,7 +118,7 @@ def _pivot_rows(key: str, frame: pd.DataFrame, seed: int, state: dict) -> list[t
                 break
             rows.append((k[0], source, whole[k][0], whole[k][1] + extra, 0.0, True))
         if left:
-            state[source] = (left[0][0], left[1], left[2], whole[left[0]][1])
+            state[source] = (left[0], left[1], left[2], whole[left[0]][1])
     return rows
 
 
@@ -139,14 +145,15 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, see
 
     def leaf(batches):
         state: dict = {}
+        seen: dict = {}
         for pdf in batches:
-            yield pd.DataFrame(_pivot_rows(key, pdf, seed, state), columns=columns)
-        yield pd.DataFrame([(k, s, w, whole, p, False) for s, (k, w, p, whole) in sorted(state.items())], columns=columns)
+            yield pd.DataFrame(_pivot_rows(key, pdf, seed, state, seen), columns=columns)
+        yield pd.DataFrame([(k[0], s, w, whole, p, False) for s, (k, w, p, whole) in sorted(state.items())], columns=columns)
 
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         state: dict = {}
-        rows = _pivot_rows(key, pdf, seed + 1, state)
-        rows += [(k, s, w, whole, p, False) for s, (k, w, p, whole) in sorted(state.items())]
+        rows = _pivot_rows(key, pdf, seed + 1, state, {})
+        rows += [(k[0], s, w, whole, p, False) for s, (k, w, p, whole) in sorted(state.items())]
         return pd.DataFrame(rows, columns=columns)
 
     # partitions by key, sorted: how the input is laid out has no say in what is drawn

@@ -102,3 +102,20 @@ def test_empty_and_refused(spark):
     assert M.shares(M.mix(docs, goals.limit(0), "doc_id", "text", "source"), goals.limit(0)).count() == 0
     with pytest.raises(ValueError):
         M.mix(docs, goals.unionAll(goals), "doc_id", "text", "source")
+
+
+def test_draws_do_not_see_where_batches_end():
+    """Rows of one sorted partition, repeated keys among them, cut into batches anywhere."""
+    import pandas as pd
+
+    r = random.Random(6)
+    rows = sorted(((r.randrange(150), r.choice("ab"), r.randrange(1, 9)) for _ in range(400)), key=lambda x: (-x[2], x[0]))
+    frame = pd.DataFrame(rows, columns=["k", "source", "n_tokens"]).assign(whole=0, fraction=0.37)
+
+    def drawn(cuts):
+        state, seen, out = {}, {}, []
+        for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+            out += M._pivot_rows("k", frame.iloc[a:b], 17, state, seen)
+        return sorted(out), sorted((s, *v) for s, v in state.items())
+
+    assert drawn([]) == drawn([7, 90, 91, 300]) == drawn(list(range(5, 400, 5)))
