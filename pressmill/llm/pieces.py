@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.tokens import VOCABULARY, encoding, vocabulary
+from pressmill.llm.tokens import VOCABULARY, encoding, longest_token, vocabulary
 from pressmill.shared import ship
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, NONE = 5, 4, 3, 2, 1, 0
@@ -45,14 +45,14 @@ def _cuts(text: str, start: int, end: int, pattern: re.Pattern) -> list[tuple[in
     return out
 
 
-def _atoms(text: str, count, most: int) -> list[tuple[int, int, int, int]]:
+def _atoms(text: str, count, most: int, longest: int) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, strength of the boundary at the end); none has more than ``most`` tokens."""
     out: list[tuple[int, int, int, int]] = []
 
     def add(start: int, end: int, level: int, patterns: tuple) -> None:
         if start == end:
             return
-        size = count(text[start:end]) if end - start <= 200_000 else most + 1
+        size = count(text[start:end]) if end - start <= most * longest else most + 1
         if size <= most:
             out.append((start, end, size, level))
             return
@@ -125,10 +125,15 @@ def _fitting(text: str, atoms: list[tuple[int, int, int, int]], count, limit: in
 
 def _overlap_start(text: str, low: int, start: int, tokenizer, overlap: int) -> int:
     """Where to begin so that about ``overlap`` tokens of text[low:start] are repeated, at a word if one begins near."""
-    reach = max(low, start - overlap * 12)
-    tokens = tokenizer.encode_ordinary(text[reach:start])
-    if len(tokens) <= overlap and reach == low:
-        return low
+    back = overlap * 12
+    while True:  # until there are tokens enough, however long they are
+        reach = max(low, start - back)
+        tokens = tokenizer.encode_ordinary(text[reach:start])
+        if len(tokens) > overlap:
+            break
+        if reach == low:
+            return low
+        back *= 2
     tail = b"".join(tokenizer.decode_single_token_bytes(t) for t in tokens[-overlap:])
     begin = start - len(tail.decode("utf-8", "ignore"))
     near = _SPACES.search(text, begin, min(start, begin + 40))
@@ -141,11 +146,13 @@ def split_text(text: str, tokenizer, limit: int = 1500, overlap: int = 100) -> l
     def count(part: str) -> int:
         return len(tokenizer.encode_ordinary(part))
 
-    whole = count(text) if len(text) <= 2_000_000 else limit + 1
+    longest = longest_token(tokenizer)
+    # so many characters can't fit into the limit, since no token has more bytes than the longest
+    whole = count(text) if len(text) <= limit * longest else limit + 1
     if whole <= limit:
         return [(0, 0, len(text), whole)]
     slack = max(1, limit // 50)
-    spans = _fitting(text, _atoms(text, count, max(1, limit - overlap - slack)), count, limit, overlap, limit - slack)
+    spans = _fitting(text, _atoms(text, count, max(1, limit - overlap - slack), longest), count, limit, overlap, limit - slack)
     out: list[tuple[int, int, int, int]] = []
     for k, (start, end) in enumerate(spans):
         begin = _overlap_start(text, spans[k - 1][0], start, tokenizer, overlap) if k and overlap else start

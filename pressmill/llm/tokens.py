@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -35,6 +36,12 @@ def encoding(named: tuple[str, bytes]):
     return _ENCODINGS[name]
 
 
+@lru_cache(maxsize=8)
+def longest_token(tokenizer) -> int:
+    """Bytes of the vocabulary's longest token."""
+    return max(len(t) for t in tokenizer.token_byte_values())
+
+
 def count_tokens_udf(spark: SparkSession, path: str = VOCABULARY):
     """Arrow UDF: text -> number of tokens; null for null."""
     ship(spark)

@@ -79,3 +79,16 @@ def test_frame(spark):
     assert sum(r.id == 4 for r in rows) == 2 * max(r.n_pieces for r in rows if r.id == 4)
     assert {r.id for r in P.split_texts(df, "id", "text", oversized_only=True, with_text=False).collect()} == {4}
     assert P.split_texts(df.limit(0), "id", "text").count() == 0
+
+
+def test_long_tokens_keep_their_overlap_and_long_texts_are_counted_exactly(tokenizer):
+    from pressmill.llm.tokens import longest_token
+
+    longest = longest_token(tokenizer)
+    text = ("-" * longest + " ") * 400  # few tokens, many characters
+    limit = len(tokenizer.encode_ordinary(text))
+    assert len(P.split_text(text, tokenizer, limit, 20)) == 1
+    cut = P.split_text(text, tokenizer, limit // 3, 40)
+    assert len(cut) > 1 and all(n <= limit // 3 for *_, n in cut)
+    for begin, start, _, _ in cut[1:]:
+        assert 20 <= len(tokenizer.encode_ordinary(text[begin:start])) <= 60
