@@ -48,23 +48,50 @@ def fold(rows: DataFrame, position: str = "record_id") -> DataFrame:
 
 
 def counts_matrix(rows: DataFrame) -> DataFrame:
-    """Visible, folded and filtered rows of the cohort for all sixteen settings.
+    """The nine counts of the cohort for all sixteen settings: cohort, visible, filtered, folded, and of the
+    visible rows those inspected, not inspected, related, unrelated and uncertain.
+
+    Folded rows are the copies after a group's first eligible row (by ``record_id``), whose kind stays visible.
 
     Rows are first counted by what the settings look at, then each count meets the
     settings, so the sixteenfold work is on groups.
     """
-    kinds = rows.groupBy("inspected", "category", "duplicate_state", F.when(F.col("duplicate_state") == "confirmed", F.col("copy_group")).alias("g")).agg(F.count("*").alias("n"))
+    group = F.when(F.col("duplicate_state") == "confirmed", F.col("copy_group"))
+    kinds = rows.groupBy("inspected", "category", "duplicate_state", group.alias("g")).agg(F.count("*").alias("n"), F.min("record_id").alias("first"))
     switch = lambda k: F.array(F.lit(False), F.lit(True))
     for name in ("inventory", "unrelated", "possible"):
         kinds = kinds.withColumn(name, F.explode(switch(name)))
     cohort = F.col("inventory") | F.col("inspected")
     allowed = cohort & (F.col("unrelated") | (F.col("category") != "unrelated")) & (F.col("possible") | (F.col("duplicate_state") != "possible"))
     settings = ["inventory", "unrelated", "possible"]
-    by_group = kinds.groupBy(*settings, "g").agg(F.sum(F.when(cohort, F.col("n")).otherwise(0)).alias("n_cohort"), F.sum(F.when(allowed, F.col("n")).otherwise(0)).alias("n_eligible"))
-    extra = F.when(F.col("g").isNotNull() & (F.col("n_eligible") > 1), F.col("n_eligible") - 1).otherwise(0)
-    sums = by_group.groupBy(*settings).agg(F.sum("n_cohort").alias("n_cohort"), F.sum("n_eligible").alias("n_eligible"), F.sum(extra).alias("n_extra"))
-    sums = sums.withColumn("fold", F.explode(switch("fold"))).withColumn("n_folded", F.when(F.col("fold"), F.col("n_extra")).otherwise(0))
-    return sums.select(*settings, "fold", "n_cohort", (F.col("n_eligible") - F.col("n_folded")).alias("n_visible"), "n_folded", (F.col("n_cohort") - F.col("n_eligible")).alias("n_filtered"))
+    shown = {"n_visible": F.lit(True), "visible_inspected": F.col("inspected"), "visible_uninspected": ~F.col("inspected"), **{f"{k}_visible": F.col("category") == k for k in ("related", "unrelated", "uncertain")}}
+    eligible = {name: F.sum(F.when(allowed & kind, F.col("n")).otherwise(0)).alias(name) for name, kind in shown.items()}
+    # what a group keeps when folded: one row, of the kind of its first eligible one
+    kept = F.min(F.when(allowed, F.struct("first", "inspected", "category"))).alias("kept")
+    by_group = kinds.groupBy(*settings, "g").agg(F.sum(F.when(cohort, F.col("n")).otherwise(0)).alias("n_cohort"), *eligible.values(), kept)
+    by_group = by_group.withColumn("fold", F.explode(switch("fold")))
+    folded = F.col("fold") & F.col("g").isNotNull()
+    one = {"n_visible": F.col("kept").isNotNull(), "visible_inspected": F.col("kept.inspected"), "visible_uninspected": ~F.col("kept.inspected"), **{f"{k}_visible": F.col("kept.category") == k for k in ("related", "unrelated", "uncertain")}}
+    left = [F.sum(F.when(folded, F.coalesce(one[name], F.lit(False)).cast("int")).otherwise(F.col(name))).alias(name) for name in shown]
+    extra = F.when(folded, F.col("n_visible") - F.col("kept").isNotNull().cast("int")).otherwise(0)
+    sums = by_group.groupBy(*settings, "fold").agg(F.sum("n_cohort").alias("n_cohort"), F.sum("n_visible").alias("n_eligible"), F.sum(extra).alias("n_folded"), *left)
+    return sums.select(*settings, "fold", "n_cohort", "n_folded", (F.col("n_cohort") - F.col("n_eligible")).alias("n_filtered"), *shown)
+
+
+def sibling_rows(rows: DataFrame) -> DataFrame:
+    """Every confirmed copy beside each other article of its group: record_id, id, sibling's record_id, id, title and publisher.
+
+    As many rows as a group has pairs, which is what is asked of one article; ``siblings`` has the groups alone.
+    """
+    confirmed = rows.where("duplicate_state = 'confirmed'")
+    other = confirmed.select(F.col("copy_group").alias("g"), F.col("record_id").alias("sibling_record"), F.col("id").alias("sibling_id"), F.col("title").alias("sibling_title"), F.col("publisher").alias("sibling_publisher"))
+    return confirmed.select("record_id", "id", "copy_group").join(other, F.col("copy_group") == F.col("g")).where("id <> sibling_id").drop("g", "copy_group")
+
+
+def single(rows: DataFrame, what: str) -> DataFrame:
+    """The rows, or an error unless there is exactly one."""
+    counted = rows.agg(F.count("*").alias("n"), F.first(F.struct(*rows.columns)).alias("r"))
+    return counted.select(F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(F.concat(F.lit(f"expected one {what}, found "), F.col("n").cast("string")))).alias("r")).select("r.*")
 
 
 def siblings(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import labels as L
 from pressmill.functions import urls as U
 from pressmill.operators import archive as A
+from pressmill.shared import shared_folder
+from pressmill.sources import files
 from pressmill.tables import table
 
 SEED, CUTOFF = "pressmill-1", "20260101000000"
@@ -32,6 +36,17 @@ def archive_project(spark, folder: str) -> DataFrame:
     return shaped.groupBy("n_fields", "flag").agg(F.count("*").alias("n_lines"), F.count("supplier").alias("n_kept"), F.sum("supplier").alias("sum_supplier"))
 
 
+def archive_files(spark, folder: str) -> DataFrame:
+    """Documents written to files of tab-separated lines, one a topic, some lines broken, scanned back: per file, lines by status and field count."""
+    rows = table(spark, folder, "documents").select(F.coalesce("topic", F.lit("none")).alias("file"), "doc_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\t\r\n]", " ").alias("url"))
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.col("url"), F.when(F.col("doc_id") % 10 == 3, "one\ttoo many").otherwise("last"))
+    path = f"{shared_folder(spark)}/archive-files-{uuid.uuid4().hex}"
+    rows.select("file", line.alias("value")).write.partitionBy("file").text(path)
+    scanned = files.tsv_lines(spark, f"{path}/*/*.txt", 3)
+    name = F.regexp_extract("file", r"file=([^/]+)/", 1)
+    return scanned.groupBy(name.alias("file"), "status", F.size("fields").alias("n_fields")).agg(F.count("*").alias("n_lines"), F.sum(F.when(F.col("status") == "ok", F.get("fields", F.lit(0)).cast("bigint"))).alias("sum_id"))
+
+
 def archive_asof_dedup(spark, folder: str) -> DataFrame:
     """Documents as known at the cutoff, by batch and document."""
     return A.deduplicate_as_of(_observations(spark, folder).where("document_id is not null"), ["document_id"], CUTOFF).orderBy("batch", "document_id")
@@ -102,6 +117,13 @@ def mention_links(spark, folder: str) -> DataFrame:
     return linked.select("event_id", "n_any", "n_as_of", "n_same", (F.col("n_as_of") > 0).alias("linked_as_of"))
 
 
+def mention_rows(spark, folder: str) -> DataFrame:
+    """Of each user and batch with a purchase, the batches and ids of all the user's views as of then."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", A.batch_label(F.date_format("ts", "yyyyMMddHHmmss")).alias("batch"))
+    rows = A.asof_rows(events.where("event_type = 'purchase'"), events.where("event_type = 'view'"), "user_id", "batch", "event_id")
+    return rows.select("user_id", "batch", F.array_join(F.transform("as_of_rows", lambda r: F.concat_ws(":", r["bin"], r["value"].cast("string"))), ",").alias("as_of_rows"))
+
+
 def mention_event_lastwins(spark, folder: str) -> DataFrame:
     """Deliveries against the last delivery of their event: whether page and day still agree; null where unknown."""
     rows = table(spark, folder, "timeline_data").select("record_id", "id", "url", "display_date", "gdelt_seendate")
@@ -178,8 +200,8 @@ def weighted_vote(spark, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        archive_project, archive_asof_dedup, archive_language_share, archive_language_share_all, archive_collisions, archive_repeats, archive_language_by_bin, archive_distinct_docs, archive_domains,
-        mention_links, mention_event_lastwins, file_checksum_agreement, manifest_scan, size_estimates, union_priority_dedup, stream_overlap, group_stats, sample_hash_topk, weighted_vote,
+        archive_project, archive_files, archive_asof_dedup, archive_language_share, archive_language_share_all, archive_collisions, archive_repeats, archive_language_by_bin, archive_distinct_docs, archive_domains,
+        mention_links, mention_rows, mention_event_lastwins, file_checksum_agreement, manifest_scan, size_estimates, union_priority_dedup, stream_overlap, group_stats, sample_hash_topk, weighted_vote,
     )
 }
 
@@ -203,6 +225,8 @@ _NONE = ", ".join(f"'{x}'" for x in L.NO_LANGUAGE)
 SQL = {
     "archive_project": """SELECT CASE WHEN l_returnflag = 'R' THEN 5 ELSE 6 END::INT AS n_fields, l_returnflag AS flag, count(*) AS n_lines, count(*) FILTER (l_returnflag <> 'R') AS n_kept,
 sum(CASE WHEN l_returnflag <> 'R' THEN l_suppkey END)::BIGINT AS sum_supplier FROM lineitem GROUP BY 1, 2""",
+    "archive_files": """SELECT coalesce(topic, 'none') AS file, CASE WHEN doc_id % 10 = 3 THEN 'wrong_shape' ELSE 'ok' END AS status, CASE WHEN doc_id % 10 = 3 THEN 4 ELSE 3 END::INT AS n_fields, count(*) AS n_lines,
+sum(CASE WHEN doc_id % 10 <> 3 THEN doc_id END)::BIGINT AS sum_id FROM documents GROUP BY 1, 2, 3""",
     "archive_asof_dedup": f"WITH {_OBS}, {_DEDUP.format(cut=f'AND batch <= {CUTOFF!r}')} SELECT * FROM dedup",
     "archive_language_share": f"""WITH {_OBS}, {_DEDUP.format(cut='')}, d AS (SELECT language, substr(batch, 1, 8) AS bin, split_part(document_id, '/', 2) AS topic FROM dedup),
 e AS (SELECT language, strftime(day, '%Y%m%d') AS bin FROM (VALUES ('english'), ('german'), ('russian')) l(language), generate_series(TIMESTAMP '2025-07-01', TIMESTAMP '2026-06-30', INTERVAL 1 DAY) g(day)),
@@ -232,6 +256,9 @@ FROM obs WHERE document_id IS NOT NULL GROUP BY 1""",
 v AS (SELECT user_id, batch, count(*) AS n FROM e WHERE event_type = 'view' GROUP BY 1, 2)
 SELECT m.event_id, coalesce(sum(v.n), 0)::BIGINT AS n_any, coalesce(sum(v.n) FILTER (v.batch <= m.batch), 0)::BIGINT AS n_as_of, coalesce(sum(v.n) FILTER (v.batch = m.batch), 0)::BIGINT AS n_same,
 coalesce(sum(v.n) FILTER (v.batch <= m.batch), 0) > 0 AS linked_as_of FROM e m LEFT JOIN v USING (user_id) WHERE m.event_type = 'purchase' GROUP BY 1""",
+    "mention_rows": """WITH e AS (SELECT event_id, user_id, event_type, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y%m%d%H%M%S') AS batch FROM events),
+p AS (SELECT DISTINCT user_id, batch FROM e WHERE event_type = 'purchase')
+SELECT p.user_id, p.batch, coalesce(string_agg(v.batch || ':' || v.event_id, ',' ORDER BY v.batch, v.event_id), '') AS as_of_rows FROM p LEFT JOIN e v ON v.user_id = p.user_id AND v.event_type = 'view' AND v.batch <= p.batch GROUP BY 1, 2""",
     "mention_event_lastwins": """WITH l AS (SELECT id, max(record_id) AS last_record FROM timeline_data WHERE id IS NOT NULL GROUP BY 1),
 x AS (SELECT l.id, last_record, url AS last_url, display_date AS last_day FROM l JOIN timeline_data t ON t.record_id = last_record)
 SELECT record_id, last_record, url = last_url AS same_url, strftime(display_date, '%Y%m%d') = substr(gdelt_seendate, 1, 8) AS seen_on_day, display_date = last_day AS same_day FROM timeline_data t LEFT JOIN x ON x.id = t.id""",

@@ -47,6 +47,12 @@ def evidence_siblings(spark, folder: str) -> DataFrame:
     return E.siblings(_cards(spark, folder))
 
 
+def evidence_sibling_rows(spark, folder: str) -> DataFrame:
+    """Confirmed copies within one collection, each beside every other article of its group; a collection has at most 500."""
+    rows = _cards(spark, folder).withColumn("copy_group", F.concat_ws("/", "investigation_id", "copy_group"))
+    return E.sibling_rows(rows)
+
+
 def evidence_ordered(spark, folder: str) -> DataFrame:
     """Articles numbered within their collection: related first, then uncertain, then the rest."""
     return E.ordered(_cards(spark, folder), ["related", "uncertain"]).select("investigation_id", "record_id", "number")
@@ -108,7 +114,7 @@ def manual_override(spark, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_filter, evidence_counts_matrix, evidence_fold, evidence_summary, evidence_siblings, evidence_ordered, collection_search, timeline_events,
+        evidence_filter, evidence_counts_matrix, evidence_fold, evidence_summary, evidence_siblings, evidence_sibling_rows, evidence_ordered, collection_search, timeline_events,
         timeline_days, retained_set_check, uncertainty_refs, uncertainty_backrefs, source_origins, manual_override,
     )
 }
@@ -127,9 +133,12 @@ SQL = {
 FROM cards WHERE inspected AND category <> 'unrelated'""",
     "evidence_counts_matrix": f"""{_CARDS},
 settings AS (SELECT a.v AS inventory, b.v AS unrelated, c.v AS possible, d.v AS fold FROM (VALUES (true), (false)) a(v), (VALUES (true), (false)) b(v), (VALUES (true), (false)) c(v), (VALUES (true), (false)) d(v)),
-e AS (SELECT s.*, k.record_id, k.copy_group, k.duplicate_state, (unrelated OR category <> 'unrelated') AND (possible OR duplicate_state <> 'possible') AS ok FROM settings s, cards k WHERE inventory OR inspected),
-f AS (SELECT *, ok AND fold AND duplicate_state = 'confirmed' AND record_id > min(CASE WHEN ok AND duplicate_state = 'confirmed' THEN record_id END) OVER (PARTITION BY inventory, unrelated, possible, fold, copy_group) AS folded FROM e)
-SELECT inventory, unrelated, possible, fold, count(*) AS n_cohort, count(*) FILTER (ok AND NOT coalesce(folded, false)) AS n_visible, count(*) FILTER (folded) AS n_folded, count(*) FILTER (NOT ok) AS n_filtered FROM f GROUP BY 1, 2, 3, 4""",
+e AS (SELECT s.*, k.record_id, k.copy_group, k.duplicate_state, k.inspected, k.category, (unrelated OR category <> 'unrelated') AND (possible OR duplicate_state <> 'possible') AS ok FROM settings s, cards k WHERE inventory OR inspected),
+f AS (SELECT *, ok AND fold AND duplicate_state = 'confirmed' AND record_id > min(CASE WHEN ok AND duplicate_state = 'confirmed' THEN record_id END) OVER (PARTITION BY inventory, unrelated, possible, fold, copy_group) AS folded FROM e),
+v AS (SELECT *, ok AND NOT coalesce(folded, false) AS shown FROM f)
+SELECT inventory, unrelated, possible, fold, count(*) AS n_cohort, count(*) FILTER (shown) AS n_visible, count(*) FILTER (folded) AS n_folded, count(*) FILTER (NOT ok) AS n_filtered,
+count(*) FILTER (shown AND inspected) AS visible_inspected, count(*) FILTER (shown AND NOT inspected) AS visible_uninspected, count(*) FILTER (shown AND category = 'related') AS related_visible,
+count(*) FILTER (shown AND category = 'unrelated') AS unrelated_visible, count(*) FILTER (shown AND category = 'uncertain') AS uncertain_visible FROM v GROUP BY 1, 2, 3, 4""",
     "evidence_fold": f"""{_CARDS}, f AS (SELECT copy_group, min(record_id) AS first_position FROM cards WHERE duplicate_state = 'confirmed' GROUP BY 1)
 SELECT record_id, id, category, coalesce(duplicate_state = 'confirmed' AND record_id > first_position, false) AS folded FROM cards LEFT JOIN f USING (copy_group)""",
     "evidence_summary": f"""{_CARDS} SELECT count(*) AS n_articles, count(*) FILTER (inspected) AS n_inspected, count(*) FILTER (category = 'related') AS n_related, count(*) FILTER (category = 'unrelated') AS n_unrelated,
@@ -138,6 +147,9 @@ count(*) FILTER (inspected AND category = 'related') AS n_on_story, count(*) FIL
 count(DISTINCT CASE WHEN duplicate_state = 'confirmed' THEN copy_group END) AS n_groups FROM cards""",
     "evidence_siblings": f"""{_CARDS}, g AS (SELECT copy_group, min(id) AS first_id, max(id) AS last_id FROM cards WHERE duplicate_state = 'confirmed' GROUP BY 1)
 SELECT record_id, id, copy_group, first_id, last_id, group_size - 1 AS n_siblings FROM cards JOIN g USING (copy_group) WHERE duplicate_state = 'confirmed'""",
+    "evidence_sibling_rows": f"""{_CARDS.replace('SELECT record_id, investigation_id, id, category', 'SELECT record_id, investigation_id, id, title, publisher, category')}
+SELECT a.record_id, a.id, b.record_id AS sibling_record, b.id AS sibling_id, b.title AS sibling_title, b.publisher AS sibling_publisher FROM cards a JOIN cards b
+ON a.investigation_id = b.investigation_id AND a.copy_group = b.copy_group AND a.duplicate_state = 'confirmed' AND b.duplicate_state = 'confirmed' AND a.id <> b.id""",
     "evidence_ordered": f"""{_CARDS} SELECT investigation_id, record_id, row_number() OVER (PARTITION BY investigation_id ORDER BY CASE category WHEN 'related' THEN 1 WHEN 'uncertain' THEN 2 ELSE 3 END, record_id) AS number FROM cards""",
     "collection_search": """SELECT investigation_id, count(*) AS n_articles, count(*) FILTER (contains(lower(concat_ws(' ', title, publisher, id)), 'terminal')) AS n_found, min(record_id) AS position
 FROM synthetic_investigation GROUP BY 1 HAVING n_found > 0""",

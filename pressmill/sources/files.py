@@ -6,7 +6,6 @@ import hashlib
 import io
 import re
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,37 +33,24 @@ def text_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n", -1)).alias("at", "line")).select("file", (F.col("at") + 1).alias("number"), "line")
 
 
-def lines_of(content: bytes) -> Iterator[tuple[int, bytes]]:
-    for number, line in enumerate(io.BytesIO(content), 1):
-        yield number, line.rstrip(b"\r\n")
-
-
 def tsv_lines(spark: SparkSession, path: str, arity: int, on_bad_utf8: str = "reject") -> DataFrame:
     """(file, row_number, status, fields): every physical line; status ok, wrong_shape or bad_utf8.
 
     on_bad_utf8: reject keeps such lines without fields, replace reads them with replacement characters.
+    Lines are read as bytes and judged by JVM expressions. A file is one partition, so that its lines can be
+    numbered as they are read: a split in the middle would not know how many lines came before.
     """
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-
-    def scan(batches):
-        for pdf in batches:
-            for file, content in zip(pdf["file"], pdf["content"], strict=True):
-                rows = []
-                for number, raw in lines_of(bytes(content)):
-                    try:
-                        line = raw.decode("utf-8", "strict" if on_bad_utf8 == "reject" else "replace")
-                    except UnicodeDecodeError:
-                        rows.append((file, number, "bad_utf8", None))
-                        continue
-                    fields = line.split("\t")
-                    rows.append((file, number, "ok" if len(fields) == arity else "wrong_shape", fields))
-                    if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=["file", "row_number", "status", "fields"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["file", "row_number", "status", "fields"])
-
-    return files.mapInPandas(scan, "file string, row_number bigint, status string, fields array<string>")
+    text = spark.read.option("lineSep", "\n").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("b"))
+    # one character for each byte, so that cutting at line ends and tabs cannot break one
+    latin = text.select("file", F.decode("b", "ISO-8859-1").alias("t"))
+    lines = latin.select("file", F.posexplode(F.split(F.regexp_replace("t", r"\n\z", ""), "\n", -1)).alias("at", "line"), F.length("t").alias("size")).where("size > 0")
+    raw = F.encode(F.regexp_replace("line", r"\r+\z", ""), "ISO-8859-1")
+    rows = lines.select("file", (F.col("at") + 1).cast("bigint").alias("row_number"), raw.alias("raw"))
+    good = F.is_valid_utf8(F.col("raw").cast("string"))
+    fields = F.split(F.make_valid_utf8(F.col("raw").cast("string")), "\t", -1)
+    kept = F.when(good | F.lit(on_bad_utf8 != "reject"), fields)
+    status = F.when(kept.isNull(), "bad_utf8").when(F.size(kept) == arity, "ok").otherwise("wrong_shape")
+    return rows.select("file", "row_number", status.alias("status"), kept.alias("fields"))
 
 
 def zip_lines(spark: SparkSession, path: str, most_bytes: int = 200_000_000) -> DataFrame:
