@@ -247,7 +247,7 @@ def _phrases(texts: str) -> Column:
 _PHRASE = "array<struct<phrase:string,rest:string,spots:array<int>>>"
 
 
-def dispensable(names: DataFrame, share: float = 0.15, least: int = 3) -> DataFrame:
+def dispensable(names: DataFrame, share: float = 0.15, least: int = 2) -> DataFrame:
     """(phrase, n, n_without): phrases of the names (name, texts) that a name does without often enough.
 
     A phrase of ``n`` names is one if at least ``share`` of them, and ``least``, stand without it as well.
