@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pressmill.functions import html as H
 from pressmill.functions import text as T
 from pressmill.operators import archive as A
+from pressmill.operators import evidence as E
 from pressmill.operators import imports
 from pressmill.operators import series as S
 
@@ -101,3 +102,11 @@ def test_column_rules_are_the_body_rules(spark):
         rows.append((200 + k, f"d{k}", *((v, "datetime") if j == 10 else x for j, x in enumerate(good) if j > 1)))
     got = {(r.record_id, r.rule) for r in imports.column_errors(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(at + 100, rule) for at, (_, rule) in change.items()} | {(200 + k, "datetime_value") for k in range(3)}
+
+
+def test_exactly_one(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n int, r string")
+    assert [tuple(x) for x in E.single(rows.where("n = 1"), "context").collect()] == [(1, "a")]
+    for bad in (rows, rows.where("n > 2")):
+        with pytest.raises(Exception, match="expected one context"):
+            E.single(bad, "context").collect()
