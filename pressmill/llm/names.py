@@ -5,9 +5,9 @@ words. Words that can be left out (legal forms, bylines, editions) are those tha
 do without: for most names that hold one, the same name without it is there as well. Every
 word's count over all names tells a slip of the pen from another word. The words that remain
 become a weighted vector of character n-grams, each word's for itself, so that their order does
-not matter; a distributed sparse join finds all pairs with a cosine at or above ``threshold``
-through their rarest n-grams (a prefix whose remainder cannot reach the threshold; frequent
-n-grams are salted), and ``top_n`` may keep each name's nearest partners only.
+not matter; a distributed sparse join finds all pairs with a cosine at or above ``threshold``:
+each two blocks of vectors meet in one task, which sums up the products of their common n-grams,
+and only near pairs leave it. ``top_n`` may keep each name's nearest partners only.
 
 A near pair is kept if its words can be laid side by side: equal, one slip apart, clipped or
 thinned out ("Wkly", "Journ."), an initial, several initials in one word ("WJ"), or, by the optional
@@ -24,11 +24,16 @@ empty results; only the name columns are read.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,33 +292,164 @@ def _grams(core: str) -> Column:
     return F.flatten(F.transform(F.split(core, " "), of))
 
 
-def near_names(cores: DataFrame, threshold: float = 0.2, top_n: int | None = None, salt_rows: int = 2000) -> DataFrame:
+def _cosines(left: tuple, right: tuple, threshold: float, cells: int = 1 << 20, products: int = 1 << 21) -> Iterator[tuple]:
+    """(i, j, cosine) arrays of the pairs at or above the threshold; a side is (offsets, n-grams, weights) of its vectors.
+
+    Bounded memory: so many pairs and so many products of weights at a time.
+    """
+    (starts, grams, weights), (offsets, others, factors) = left, right
+    n, size = len(starts) - 1, int(max(grams.max(initial=-1), others.max(initial=-1))) + 1
+    # the left side by n-gram
+    order = np.argsort(grams, kind="stable")
+    rows, weights = np.repeat(np.arange(n), np.diff(starts))[order], weights[order]
+    held = np.bincount(grams, minlength=size)
+    begin = np.cumsum(held) - held
+    step = max(1, cells // max(n, 1))
+    for low in range(0, len(offsets) - 1, step):
+        high = min(low + step, len(offsets) - 1)
+        at = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+        own = slice(offsets[low], offsets[high])
+        gram, factor = others[own], factors[own]
+        met = held[gram]
+        total, sums, first = np.cumsum(met), np.zeros((high - low) * n), 0
+        while first < len(gram):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + products, "right")))
+            k = met[first:last]
+            spots = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[gram[first:last]], k)
+            sums += np.bincount(np.repeat(at[first:last] * n, k) + rows[spots], weights[spots] * np.repeat(factor[first:last], k), minlength=len(sums))
+            first = last
+        near = np.flatnonzero(sums >= threshold)
+        yield near % n, low + near // n, sums[near]
+
+
+_SLOTS = 8
+_NO_BITS = np.uint64(0)
+
+
+def _bits(chars: Iterable[str]) -> int:
+    return functools.reduce(lambda m, c: m | 1 << (ord(c) & 63), chars, 0)
+
+
+class _Words:
+    """What quickly tells names apart: of each word its letters, length, count and the given names it may stand for."""
+
+    def __init__(self, cores: list[str], hints: dict[str, frozenset[str]]) -> None:
+        ids: dict[str, int] = {}
+        rows = [[ids.setdefault(w, len(ids)) for w in c.split()] for c in cores]
+        words = [_parsed(w)[0] for w in ids]
+        self.many = np.array([len(r) > _SLOTS for r in rows], bool)
+        self.slots = np.full((len(rows), min(_SLOTS, max(map(len, rows), default=0))), -1)
+        for k, r in enumerate(rows):
+            self.slots[k, : len(r[:_SLOTS])] = r[:_SLOTS]
+        self.joined = np.array([hash("".join(words[w][0] for w in r)) for r in rows], np.int64)
+        self.text = np.array([hash(w[0]) for w in words], np.int64)
+        self.size = np.array([len(w[0]) for w in words], np.int64)
+        self.first = np.array([ord(w[0][0]) for w in words], np.int64)
+        self.capitals = np.array([w[2] for w in words], bool)
+        self.n = np.array([w[3] for w in words], np.int64)
+        self.letters = np.array([_bits(w[0]) for w in words], np.uint64)
+        self.head = np.array([_bits(w[0][0]) for w in words], np.uint64)
+        self.initials = np.array([_bits([w[0][0], *(g[0] for g in hints.get(w[0], ()))]) for w in words], np.uint64)
+        givens = {g: 1 << (k & 63) for k, g in enumerate(sorted(set().union(*hints.values())))}
+        mask = lambda gs: functools.reduce(lambda m, g: m | givens[g], gs, 0)
+        self.given = np.array([mask(hints.get(w[0], ())) for w in words], np.uint64)
+        self.slip = np.zeros(len(words), np.uint64)
+        for name, gs in hints.items():
+            if len(name) >= 5:
+                apart = np.bitwise_count(self.letters ^ np.uint64(_bits(name)))
+                self.slip[(self.size >= 5) & (self.given == 0) & (abs(self.size - len(name)) <= 1) & (apart <= 2)] |= np.uint64(mask(gs))
+
+
+def _may_partner(a: _Words, x: np.ndarray, b: _Words, y: np.ndarray) -> np.ndarray:
+    """Whether words x and y may be laid side by side: true wherever they can, as each test is looser than ``likeness``'s."""
+    least, most = np.minimum(a.size[x], b.size[y]), np.maximum(a.size[x], b.size[y])
+    same, short = a.first[x] == b.first[y], a.size[x] < b.size[y]
+    mine, others = a.letters[x], b.letters[y]
+    apart, differ = most - least, np.bitwise_count(mine ^ others)
+    rare, usual = np.minimum(a.n[x], b.n[y]), np.maximum(a.n[x], b.n[y])
+    # an edit changes two letters of the sets at most
+    slips = (most >= 4) & ((least >= 6) | same) & (((apart <= 1) & (differ <= 2)) | ((least >= 9) & (apart <= 2) & (differ <= 4))) & ((rare <= 3) | (rare * 10 <= usual))
+    shortens = same & (least >= 2) & (apart > 0) & (np.where(short, mine & ~others, others & ~mine) == _NO_BITS)
+    given = (a.given[x] & (b.given[y] | b.slip[y])) | (a.slip[x] & b.given[y])
+    single = ((a.size[x] == 1) & ((mine & b.initials[y]) != _NO_BITS)) | ((b.size[y] == 1) & ((others & a.initials[x]) != _NO_BITS))
+    stands = (a.capitals[x] & ((mine & b.head[y]) != _NO_BITS)) | (b.capitals[y] & ((others & a.head[x]) != _NO_BITS))
+    return (a.text[x] == b.text[y]) | slips | shortens | (given != _NO_BITS) | single | stands
+
+
+def _may_mean_one(a: _Words, i: np.ndarray, b: _Words, j: np.ndarray) -> np.ndarray:
+    """False where a word of two letters or more of names i and j has no partner, so that their likeness is 0."""
+    mine, others = np.ones(len(i), bool), np.ones(len(i), bool)
+    if a.slots.shape[1] and b.slots.shape[1]:
+        found = np.zeros((b.slots.shape[1], len(i)), bool)
+        for p in range(a.slots.shape[1]):
+            x = a.slots[i, p]
+            any_of = np.zeros(len(i), bool)
+            for q in range(b.slots.shape[1]):
+                y = b.slots[j, q]
+                both = np.flatnonzero((x >= 0) & (y >= 0))
+                fit = both[_may_partner(a, x[both], b, y[both])]
+                any_of[fit] = found[q, fit] = True
+            mine &= any_of | (x < 0) | (a.size[x] == 1)
+        for q in range(b.slots.shape[1]):
+            y = b.slots[j, q]
+            others &= found[q] | (y < 0) | (b.size[y] == 1)
+    return (mine & others) | a.many[i] | b.many[j] | (a.joined[i] == b.joined[j])
+
+
+def _block_pairs(unit: DataFrame, threshold: float, blocks: int, hints: dict[str, frozenset[str]] | None) -> DataFrame:
+    """(a, b, cosine) of all near pairs of vectors: each two blocks of them meet in one task, and only what is near leaves it."""
+    i, j, same, block = F.least("block", "other"), F.greatest("block", "other"), F.col("block") == F.col("other"), F.pmod(F.xxhash64("core"), F.lit(blocks)).cast("int")
+    sent = unit.select("core", "grams", "weights", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(i.alias("i"), j.alias("j"), same.alias("same"), (F.col("block") == i).alias("first"), "core", "grams", "weights").repartition(blocks * (blocks + 1) // 2, "i", "j")
+
+    def meet(table: pa.Table) -> pa.Table:
+        one = table["same"][0].as_py()
+        sides = [table] if one else [table.filter(table["first"]), table.filter(pc.invert(table["first"]))]
+        known = pc.unique(pa.chunked_array([c for t in sides for c in pc.list_flatten(t["grams"]).chunks]))
+        read = []
+        for t in sides:
+            flat = pc.index_in(pc.list_flatten(t["grams"]), value_set=known).to_numpy().astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(t["grams"]).to_numpy())]).astype(np.int64)
+            cores = t["core"].to_pylist()
+            read.append(((offsets, flat, pc.list_flatten(t["weights"]).to_numpy()), cores, None if hints is None else _Words(cores, hints)))
+        (left, mine, first), (right, others, second) = read[0], read[-1]
+        found: tuple[list, list, list] = ([], [], [])
+        if mine and others:
+            for x, y, cosine in _cosines(left, right, threshold):
+                keep = x < y if one else np.ones(len(x), bool)
+                if hints is not None:
+                    keep[keep] = _may_mean_one(first, x[keep], second, y[keep])
+                for k in np.flatnonzero(keep):
+                    a, b = mine[x[k]], others[y[k]]
+                    for to, value in zip(found, (min(a, b), max(a, b), float(cosine[k])), strict=True):
+                        to.append(value)
+        return pa.table({"a": pa.array(found[0], pa.string()), "b": pa.array(found[1], pa.string()), "cosine": pa.array(found[2], pa.float64())})
+
+    return sent.groupBy("i", "j").applyInArrow(meet, "a string, b string, cosine double")
+
+
+def near_names(cores: DataFrame, threshold: float = 0.2, top_n: int | None = None, salt_rows: int = 16_000, hints: dict[str, frozenset[str]] | None = None) -> DataFrame:
     """(a, b, cosine) with a < b of all pairs of the distinct cores whose n-gram vectors have a cosine at or above the threshold.
 
     N-grams of one core only are left out, as they can meet no other and would only make slips of the pen
-    look strange. An n-gram of more than ``salt_rows`` cores is spread over as many more tasks.
+    look strange. Cores are hashed to blocks of about ``salt_rows``, however frequent their n-grams are; a block
+    is sent once to each other one, and pairs are never shuffled. With ``hints``, pairs that have a word without
+    partner are left out at once, as their likeness is 0.
     """
+    ship(cores.sparkSession)
     grams = cores.select("core", F.explode(_grams("core")).alias("gram")).groupBy("core", "gram").agg(F.count("*").alias("k"))
     grams = materialize(grams, "name-grams")
-    total = float(cores.count())
-    idf = F.log(1 + F.lit(total) / F.col("n"))
-    weights = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", "n", (idf * idf).alias("idf"))
-    weighted = grams.join(weights, "gram").select("core", F.struct("idf", "gram", (F.col("k") * F.col("idf")).alias("w"), "n").alias("g"))
+    total = cores.count()
+    idf = F.log(1 + F.lit(float(total)) / F.col("n"))
+    weights = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (idf * idf).alias("idf"))
+    weighted = grams.join(weights, "gram").select("core", F.struct("gram", (F.col("k") * F.col("idf")).alias("w")).alias("g"))
     vectors = weighted.groupBy("core").agg(F.array_sort(F.collect_list("g")).alias("g"))  # as long as the name
     norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    unit = vectors.withColumn("norm", norm).select("core", F.transform("g", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.col("norm")).alias("w"), x["n"].alias("n"))).alias("v"))
+    unit = vectors.withColumn("norm", norm).select("core", F.col("g.gram").alias("grams"), F.transform("g.w", lambda w: w / F.col("norm")).alias("weights"))
     unit = materialize(unit, "name-vectors")
     discard(grams)
-    # rarest last in v: a gram belongs to the prefix while the more frequent ones up to it could reach the threshold alone
-    before = F.aggregate(F.slice("v", F.lit(1), F.col("at") + 1), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    prefix = unit.select("core", "v", F.posexplode("v").alias("at", "e")).where(before >= threshold * threshold - 1e-9).select("core", F.col("e.gram").alias("gram"), (1 + F.floor(F.col("e.n") / salt_rows)).cast("int").alias("salts"))
-    left = prefix.select(F.col("core").alias("a"), "gram", F.pmod(F.xxhash64("core"), F.col("salts")).cast("int").alias("salt"))
-    right = prefix.select(F.col("core").alias("b"), "gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = left.join(right, ["gram", "salt"]).where("a < b").select("a", "b").distinct()
-    va = unit.select(F.col("core").alias("a"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"]))).alias("va"))
-    both = pairs.join(va, "a").join(unit.select(F.col("core").alias("b"), F.col("v").alias("vb")), "b")
-    cosine = F.aggregate("vb", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at("va", x["gram"]), F.lit(0.0)))
-    near = both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+    blocks = max(math.ceil(total / salt_rows), min(8, math.ceil(total / 250)), 1)
+    near = _block_pairs(unit, threshold, blocks, hints if top_n is None else None)
     if top_n is not None:
         sides = near.select(F.col("a").alias("x"), "a", "b", "cosine").unionAll(near.select(F.col("b").alias("x"), "a", "b", "cosine"))
         best = Window.partitionBy("x").orderBy(F.desc("cosine"), "a", "b")
@@ -332,7 +468,7 @@ def name_links(cores: DataFrame, threshold: float = 0.2, top_n: int | None = Non
         return pd.DataFrame({"likeness": [float(likeness(read[x], read[y], hints)) for x, y in zip(a, b, strict=True)], "ba": a.map(bare).astype(bool), "bb": b.map(bare).astype(bool)})
 
     # made once for each pair: a filter on its result would else have it made again
-    near = near_names(cores, threshold, top_n).select("a", "b", compare.asNondeterministic()("a", "b").alias("l"))
+    near = near_names(cores, threshold, top_n, hints=hints).select("a", "b", compare.asNondeterministic()("a", "b").alias("l"))
     return materialize(near.select("a", "b", "l.*").where("likeness > 0"), "name-links")
 
 
